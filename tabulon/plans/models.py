@@ -1,2 +1,216 @@
-QUERIES = {}
-ORACLE = {}
+"""Queries of the estimators over whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabulon.functions import dates as D
+from tabulon.models import arima as AR
+from tabulon.models import design, glm, linear, post
+from tabulon.operators import aggregate as A
+from tabulon.session import code, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def coefficients(spark: SparkSession, *models: linear.Estimates, digits: int = 5) -> DataFrame:
+    out = None
+    for i, m in enumerate(models, 1):
+        f = m.frame(spark).select(F.lit(i).alias("m"), "model", "term", F.round("b", digits).alias("b"), F.round("se", digits).alias("se"))
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
+def good(c: str):
+    """A panel or grunfeld number, its missing guises being null."""
+    return F.when((F.col(c) > 0) & (F.col(c) < 1e12), F.col(c))
+
+
+def grunfeld(spark: SparkSession, d: str) -> DataFrame:
+    """One row per firm and year, numbers cleaned: repeated rows keep the first that has all values."""
+    g = table(spark, d, "grunfeld").select("row_id", F.col("firm").cast("long").alias("firm"), F.col("year").cast("int").alias("year"), *[good(c).alias(c) for c in ("invest", "value", "capital")])
+    g = g.dropna(subset=["firm", "year", "invest", "value", "capital"])
+    return A.duplicates_drop(g, ["firm", "year"], ["row_id"])
+
+
+GRUNFELD = "(select * from (select row_id, cast(firm as bigint) as firm, cast(year as int) as year, invest, value, capital, row_number() over (partition by firm, year order by row_id) as rn from grunfeld where firm is not null and year is not null and invest > 0 and invest < 1e12 and value > 0 and value < 1e12 and capital > 0 and capital < 1e12) where rn = 1)"
+
+
+def _x(*names: str) -> dict:
+    return {n: F.col(n) for n in names}
+
+
+@query("""select 'l_quantity' as term, round(regr_slope(l_extendedprice, l_quantity), 5) as b, round(sqrt(((1 - regr_r2(l_extendedprice, l_quantity)) * regr_syy(l_extendedprice, l_quantity) / (count(*) - 2)) / regr_sxx(l_extendedprice, l_quantity)), 5) as se, round(regr_r2(l_extendedprice, l_quantity), 6) as r2, count(*) as n from lineitem
+union all select '_cons', round(regr_intercept(l_extendedprice, l_quantity), 5), round(sqrt(((1 - regr_r2(l_extendedprice, l_quantity)) * regr_syy(l_extendedprice, l_quantity) / (count(*) - 2)) * (1.0 / count(*) + power(avg(l_quantity), 2) / regr_sxx(l_extendedprice, l_quantity))), 5), round(regr_r2(l_extendedprice, l_quantity), 6), count(*) from lineitem""")
+def regress_ols(spark, d):
+    e = linear.regress(table(spark, d, "lineitem"), "l_extendedprice", _x("l_quantity"))
+    return e.frame(spark).select("term", F.round("b", 5).alias("b"), F.round("se", 5).alias("se"), F.lit(round(e.stats["r2"], 6)).alias("r2"), F.lit(e.n).cast("bigint").alias("n"))
+
+
+@query("""with w as (select l_quantity as w, l_discount as x, l_tax as y from lineitem), s as (select sum(w) as sw, sum(w * x) / sum(w) as mx, sum(w * y) / sum(w) as my from w),
+c as (select sum(w * (x - mx) * (y - my)) as sxy, sum(w * (x - mx) * (x - mx)) as sxx, any_value(my) as my, any_value(mx) as mx from w, s)
+select 'l_discount' as term, round(sxy / sxx, 8) as b from c union all select '_cons', round(my - sxy / sxx * mx, 8) from c""")
+def regress_fweight(spark, d):
+    e = linear.regress(table(spark, d, "lineitem"), "l_tax", _x("l_discount"), weight="l_quantity", kind="fweight")
+    return e.frame(spark).select("term", F.round("b", 8).alias("b"))
+
+
+@query("""with m as (select avg(l_quantity) as a, avg(l_discount) as b, avg(l_extendedprice) as y from lineitem),
+s as (select sum((l_quantity - a) * (l_quantity - a)) as aa, sum((l_discount - b) * (l_discount - b)) as bb, sum((l_quantity - a) * (l_discount - b)) as ab, sum((l_quantity - a) * (l_extendedprice - y)) as ay, sum((l_discount - b) * (l_extendedprice - y)) as yb, any_value(a) as a, any_value(b) as b, any_value(y) as y from lineitem, m)
+select 'l_quantity' as term, round((ay * bb - yb * ab) / (aa * bb - ab * ab), 4) as b from s union all select 'l_discount', round((yb * aa - ay * ab) / (aa * bb - ab * ab), 4) from s
+union all select '_cons', round(y - (ay * bb - yb * ab) / (aa * bb - ab * ab) * a - (yb * aa - ay * ab) / (aa * bb - ab * ab) * b, 4) from s""")
+def regress_multi(spark, d):
+    e = linear.regress(table(spark, d, "lineitem"), "l_extendedprice", _x("l_quantity", "l_discount"))
+    return e.frame(spark).select("term", F.round("b", 4).alias("b"))
+
+
+@query()
+def regress_vce(spark, d):
+    """The same model with classical, robust and clustered errors."""
+    x = table(spark, d, "lineitem")
+    t = _x("l_quantity", "l_discount")
+    return coefficients(spark, linear.regress(x, "l_extendedprice", t), linear.regress(x, "l_extendedprice", t, robust=True), linear.regress(x, "l_extendedprice", t, cluster="l_suppkey"))
+
+
+@query("select 'f' as term, l_linestatus, round(avg(l_extendedprice), 4) as mean from lineitem group by 2")
+def regress_factor(spark, d):
+    """A saturated factor model reproduces the group means."""
+    x = table(spark, d, "lineitem").withColumn("g", F.when(F.col("l_linestatus") == "F", 0).otherwise(1))
+    e = linear.regress(x, "l_extendedprice", design.expand(x, "i.g"))
+    fit = post.predict(x, e, "mean").groupBy("l_linestatus").agg(F.round(F.max("mean"), 4).alias("mean"))
+    return fit.select(F.lit("f").alias("term"), "l_linestatus", "mean")
+
+
+@query(f"""with g as {GRUNFELD}, d as (select value - avg(value) over (partition by firm) as x, capital - avg(capital) over (partition by firm) as z, invest - avg(invest) over (partition by firm) as y from g),
+s as (select sum(x * x) as xx, sum(z * z) as zz, sum(x * z) as xz, sum(x * y) as xy, sum(z * y) as zy from d)
+select 'value' as term, round((xy * zz - zy * xz) / (xx * zz - xz * xz), 6) as b from s union all select 'capital', round((zy * xx - xy * xz) / (xx * zz - xz * xz), 6) from s""")
+def xtreg_fe(spark, d):
+    e = linear.xtreg(grunfeld(spark, d), "invest", _x("value", "capital"), "firm")
+    return e.frame(spark).select("term", F.round("b", 6).alias("b"))
+
+
+@query()
+def xtreg_all(spark, d):
+    """Fixed, random and between effects and the clustered fixed effects."""
+    g = grunfeld(spark, d)
+    t = _x("value", "capital")
+    return coefficients(spark, *[linear.xtreg(g, "invest", t, "firm", m) for m in ("fe", "re", "be")], linear.xtreg(g, "invest", t, "firm", "fe", robust=True))
+
+
+@query()
+def hausman_test(spark, d):
+    g = grunfeld(spark, d)
+    t = _x("value", "capital")
+    h = linear.hausman(linear.xtreg(g, "invest", t, "firm"), linear.xtreg(g, "invest", t, "firm", "re"))
+    n = g.agg(F.count("*").alias("n"))
+    return n.select(F.lit(h["chi2"]).alias("chi2"), F.lit(h["df"]).alias("df"), F.lit(h["p"]).alias("p"), "n")
+
+
+def _binary(spark, d):
+    o = table(spark, d, "orders")
+    return o.select((F.col("o_orderstatus") == "F").cast("double").alias("y"), (F.col("o_totalprice") / 100000).alias("price"), F.year("o_orderdate").cast("double").alias("yr"), "o_custkey")
+
+
+@query()
+def logit_probit(spark, d):
+    x = _binary(spark, d)
+    t = _x("price")
+    return coefficients(spark, glm.glm(x, "y", t, "logit"), glm.glm(x, "y", t, "probit"), glm.glm(x, "y", t, "logit", robust=True), glm.glm(x, "y", t, "logit", cluster="o_custkey"))
+
+
+@query()
+def poisson_counts(spark, d):
+    """Daily events of users on the day of the week."""
+    from tabulon.plans.econ import user_days
+
+    x = user_days(spark, d).withColumn("dow", D.dow("day"))
+    e = glm.glm(x, "n", design.expand(x, "i.dow"), "poisson")
+    return coefficients(spark, e)
+
+
+@query()
+def margins_effects(spark, d):
+    x = _binary(spark, d)
+    rows = []
+    for f in ("logit", "probit"):
+        e = glm.glm(x, "y", _x("price"), f)
+        rows += [(f, at, r["term"], r["dydx"], r["se"]) for at in (False, True) for r in post.margins(x, e, atmeans=at)]
+    return spark.createDataFrame(rows, "model string, atmeans boolean, term string, dydx double, se double")
+
+
+@query()
+def ivregress_2sls(spark, d):
+    g = grunfeld(spark, d)
+    e = linear.ivregress(g, "invest", _x("capital"), _x("value"), {"year": F.col("year").cast("double")})
+    return coefficients(spark, e)
+
+
+@query()
+def predict_residuals(spark, d):
+    """Fit, residual and standard error of the fit for every order."""
+    x = table(spark, d, "orders").withColumn("yr", F.year("o_orderdate").cast("double"))
+    e = linear.regress(x, "o_totalprice", _x("yr"))
+    x = post.predict(x, e, "fit", "xb")
+    x = post.predict(post.predict(x, e, "res", "residuals"), e, "sdp", "stdp")
+    return x.select("o_orderkey", F.round("fit", 4).alias("fit"), F.round("res", 4).alias("res"), F.round("sdp", 6).alias("sdp"))
+
+
+@query()
+def predict_panel(spark, d):
+    """Firm effects and remaining errors after the fixed-effects model."""
+    g = grunfeld(spark, d)
+    e = linear.xtreg(g, "invest", _x("value", "capital"), "firm")
+    return post.predict(post.predict(g, e, "u", "u"), e, "err", "e").select("row_id", F.round("u", 4).alias("u"), F.round("err", 4).alias("err"))
+
+
+@query()
+def tests_lincom(spark, d):
+    x = table(spark, d, "lineitem")
+    e = linear.regress(x, "l_extendedprice", _x("l_quantity", "l_discount"))
+    t, j, c = post.test(e, "l_discount"), post.test(e, "l_quantity", "l_discount"), post.lincom(e, {"l_quantity": 10.0, "_cons": 1.0})
+    n = x.agg(F.count("*").alias("n"))
+    return n.select("n", *[F.lit(float(v)).alias(k) for k, v in (("F1", t["F"]), ("p1", t["p"]), ("F2", j["F"]), ("b", c["b"]), ("se", c["se"]))])
+
+
+def carrier_months(spark, d):
+    ok = (F.col("passengers") > 0) & ~F.isnan("passengers") & (F.col("month") == F.floor("month")) & F.col("month").between(1, 12)
+    a = table(spark, d, "airline").filter(ok).select(code("carrier").alias("carrier"), D.ym(F.col("year"), F.col("month")).alias("t"), F.log("passengers").alias("lp"))
+    return a.groupBy("carrier", "t").agg(F.avg("lp").alias("lp"))
+
+
+@query()
+def arima_carriers(spark, d):
+    """ARIMA(1, 1, 1) of every carrier's log passengers."""
+    return AR.arima(carrier_months(spark, d), "carrier", "t", "lp", (1, 1, 1))
+
+
+@query()
+def arima_long(spark, d):
+    """The two-stage form over all carriers as one panel."""
+    e = AR.long_series(carrier_months(spark, d), "t", "lp", (1, 1, 1), panel="carrier")
+    return coefficients(spark, e)
+
+
+@query()
+def autocorrelations(spark, d):
+    return AR.autocorrelation(carrier_months(spark, d), "carrier", "t", "lp")
+
+
+@query()
+def lowess_smooth(spark, d):
+    return AR.lowess(table(spark, d, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice")
