@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.models.linear import Estimates, regress
+from tabulon.operators.aggregate import correlation
 from tabulon.operators.prep import DataError
 from tabulon.operators.window import Panel
 
@@ -148,5 +149,5 @@ def autocorrelation(df: DataFrame, panel: str, time: str, value: str, lags: int
     pan = Panel(time, panel)
     v = F.col(value).cast("double")
     x = df.select(v.alias("v"), *[pan.L(v, k).alias(f"l{k}") for k in range(1, lags + 1)])
-    each = [F.struct(F.lit(k).alias("lag"), F.corr("v", f"l{k}").alias("rho"), F.count_if(F.col("v").isNotNull() & F.col(f"l{k}").isNotNull()).alias("n")) for k in range(1, lags + 1)]
+    each = [F.struct(F.lit(k).alias("lag"), correlation(F.col("v"), F.col(f"l{k}")).alias("rho"), F.count_if(F.col("v").isNotNull() & F.col(f"l{k}").isNotNull()).alias("n")) for k in range(1, lags + 1)]
     return x.agg(F.array(*each).alias("a")).select(F.inline("a"))

@@ -90,7 +90,7 @@ def glm(df: DataFrame, y: str, terms: dict[str, Column], family: str = "logit",
                 step = step / 2
             b, change = b + step, abs(ll2 - ll)
             ll, g, H = ll2, g2, H2
-            if change < 1e-9 * max(1.0, abs(ll)):
+            if change < 1e-12 * max(1.0, abs(ll)):
                 break
         V = np.linalg.inv(H)
         n = int(round(m[2])) if weight else m[1]
@@ -104,7 +104,8 @@ def glm(df: DataFrame, y: str, terms: dict[str, Column], family: str = "logit",
                 meat, gr = sandwich(scored, use, F.col("score"), "cl" if cluster else None)
             else:
                 meat, gr = sandwich(x, use, F.col("w") * (F.col("y") - fit), "cl" if cluster else None)
-            V = V @ meat @ V * (gr / (gr - 1) if cluster else n / (n - 1))
+            k = len(use)
+            V = V @ meat @ V * (gr / (gr - 1) * (n - 1) / (n - k) if cluster else n / (n - k))
         chi = 2 * (ll - null)
         k = len(use) - 1
         stats = {"N": n, "ll": ll, "ll_0": null, "chi2": chi, "p": 1 - chi2_cdf(k, chi) if k else math.nan, "r2_p": 1 - ll / null if null else math.nan, "iterations": it + 1}

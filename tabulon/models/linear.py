@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.numeric import beta_inc, chi2_cdf, f_tail, inv_t_tail, t_tail
+from tabulon.operators.aggregate import correlation
 from tabulon.operators.prep import DataError
 
 
@@ -241,8 +242,8 @@ def xtreg(df: DataFrame, y: str, terms: dict[str, Column], panel: str, model: st
     V = s2e * XXi[np.ix_(pos, pos)]
     fitted = lambda pre: sum((float(v) * F.col(f"{pre}{xs[j]}") for v, j in zip(b, slopes, strict=True)), F.lit(0.0))
     per = means.select((F.col("m_y") - fitted("m_")).alias("a"), fitted("m_").alias("fit"), "m_y")
-    a = per.agg(F.var_samp("a"), F.corr("fit", "m_y")).first()
-    all_r2 = x.agg(F.corr(fitted(""), F.col("y"))).first()[0]
+    a = per.agg(F.var_samp("a"), correlation(F.col("fit"), F.col("m_y"))).first()
+    all_r2 = x.agg(correlation(fitted(""), F.col("y"))).first()[0]
     fe_sigma_u = math.sqrt(max(0.0, (a[0] or 0.0)))
     stats = {"N": N, "N_g": G, "r2_w": 1 - rss / tss_w, "r2_b": (a[1] or 0.0) ** 2, "r2_o": (all_r2 or 0.0) ** 2, "sigma_e": math.sqrt(s2e), "sigma_u": fe_sigma_u}
     if model == "fe":

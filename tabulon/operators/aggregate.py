@@ -16,6 +16,13 @@ from tabulon.operators.prep import DataError
 QUANTILES = {"median": 0.5, **{f"p{p}": p / 100 for p in range(1, 100)}}
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation over rows with both; missing where one of them does not vary."""
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+
+
 def statistic(stat: str, x: Column, w: Column | None = None, order: Column | None = None) -> Column:
     """One statistic of x, skipping missings; w weights it, order says what first and last mean."""
     x = x.cast("double")
@@ -174,7 +181,7 @@ def pwcorr(df: DataFrame, names: list[str]) -> DataFrame:
     """Pairwise-complete correlations, one row per pair, from one aggregate."""
     pairs = [(a, b) for i, a in enumerate(names) for b in names[:i]]
     both = lambda a, b, c: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(c).cast("double"))
-    structs = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.corr(both(a, b, a), both(a, b, b)).alias("rho"), F.count(both(a, b, a)).alias("n")) for a, b in pairs]
+    structs = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), correlation(F.col(a), F.col(b)).alias("rho"), F.count(both(a, b, a)).alias("n")) for a, b in pairs]
     return df.agg(F.array(*structs).alias("p")).select(F.inline("p"))
 
 

@@ -47,7 +47,7 @@ def observations(obs: DataFrame, types: dict[str, str] = TYPES) -> DataFrame:
     number = F.when(F.col("v").rlike(NUMBER), F.regexp_replace("v", ",", ""))
     form: Column = number
     for name, kind in types.items():
-        own = {"string": F.col("v"), "date": F.when(F.col("v").rlike(DATE), F.col("v")), "int": F.when(F.col("v").rlike(r"^[+-]?\d{1,9}$"), F.regexp_replace("v", r"\+", ""))}[kind]
+        own = {"string": F.col("v"), "date": F.when(F.col("v").rlike(DATE) & F.try_to_date("v", "yyyy-MM-dd").isNotNull(), F.col("v")), "int": F.when(F.col("v").rlike(r"^[+-]?\d{1,9}$"), F.regexp_replace("v", r"\+", ""))}[kind]
         form = F.when(F.col("code") == name, own).otherwise(form)
     return x.withColumn("v", F.when(~F.upper("v").isin(MISSING), form))
 
