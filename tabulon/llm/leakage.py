@@ -8,7 +8,9 @@ by size, k being the upper bound of the partition, and items beyond the largest
 are cut into overlapping segments: a leak of 20 words with three changed leaves, in the
 worst case, one shingle of five (17 words in four runs), so a smaller k would lose leaks.
 What the sketches hit is verified by exact comparison of the shingles' surroundings: 20
-consecutive words of the item with at most three changed (40 and 6 characters).
+consecutive words of the item with at most three changed (40 and 6 characters), the first and
+the last of them unchanged, so that a shorter quotation is not filled up by its neighbours.
+A redaction counts as one changed word.
 
 The items are a stated query set, compared with all documents in blocks of BLOCK_ITEMS; one
 block's sketches are what a task holds in memory. Documents stay where they are read: no
@@ -41,6 +43,8 @@ _BLOCKS = re.compile(r"\n[ \t\r]*\n\s*")
 # page headers: a short line that carries a page number and no sentence
 _HEADER = re.compile(r"\s*(?:page \d+|\d+ / \d+ \w \d+/\d+|\d+ \w \d+/\d+ — p\. \d+|\[\d+\] \w+ .{0,40}, p\. \d+ of \d+|[-–—]?\s*\d+\s*[-–—]?)\s*", re.I)
 _NUMBER = re.compile(r"\s*(?:\[\d+\]|\(\d+\)|¶\s*\d+|Rn\.\s*\d+|\d+\.)(?=\s)", re.I)
+# a redaction stands for the words it hides, as one changed word
+_REDACTED = re.compile(r"█+|\[(?:redacted|name withheld|…|\.\.\.)\]|\b[A-Z]…", re.I)
 _PUNCT = re.compile(r"[^\w\s]|_")
 _HAN = re.compile(r"[㐀-䶿一-鿿]")
 
@@ -54,7 +58,7 @@ def plain(text: str) -> str:
             continue
         m = _NUMBER.match(b)
         kept.append(b[m.end() :] if m else b)
-    t = "\n".join(kept)
+    t = _REDACTED.sub("ꙮ", "\n".join(kept))
     if not t.isascii():
         t = unicodedata.normalize("NFKD", t)  # the marks go with the punctuation
     return _PUNCT.sub("", t.casefold())
@@ -176,6 +180,7 @@ class Sketches:
             total = np.concatenate([np.zeros((len(same), 1), np.int16), np.cumsum(same, axis=1, dtype=np.int16)], axis=1)
             outside = np.concatenate([np.zeros((len(same), 1), np.int16), np.cumsum(t < 0, axis=1, dtype=np.int16)], axis=1)
             enough = (total[:, w:] - total[:, :-w] >= w - self.changes) & (outside[:, w:] == outside[:, :-w])
+            enough &= (same[:, : 1 - w] > 0) & (same[:, w - 1 :] > 0)
             out[a : a + step] = enough.any(axis=1)
         return out
 
