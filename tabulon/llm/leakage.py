@@ -44,7 +44,7 @@ _BLOCKS = re.compile(r"\n[ \t\r]*\n\s*")
 _HEADER = re.compile(r"\s*(?:page \d+|\d+ / \d+ \w \d+/\d+|\d+ \w \d+/\d+ — p\. \d+|\[\d+\] \w+ .{0,40}, p\. \d+ of \d+|[-–—]?\s*\d+\s*[-–—]?)\s*", re.I)
 _NUMBER = re.compile(r"\s*(?:\[\d+\]|\(\d+\)|¶\s*\d+|Rn\.\s*\d+|\d+\.)(?=\s)", re.I)
 # a redaction stands for the words it hides, as one changed word
-_REDACTED = re.compile(r"█+|\[(?:redacted|name withheld|…|\.\.\.)\]|\b[A-Z]…", re.I)
+_REDACTED = re.compile(r"█+|\[(?:redacted|name withheld|…)\]|(?<!\w)[A-Z]…")
 _PUNCT = re.compile(r"[^\w\s]|_")
 _HAN = re.compile(r"[㐀-䶿一-鿿]")
 
@@ -58,7 +58,9 @@ def plain(text: str) -> str:
             continue
         m = _NUMBER.match(b)
         kept.append(b[m.end() :] if m else b)
-    t = _REDACTED.sub("ꙮ", "\n".join(kept))
+    t = "\n".join(kept)
+    if "█" in t or "…" in t or "redacted]" in t or "withheld]" in t:
+        t = _REDACTED.sub("ꙮ", t)
     if not t.isascii():
         t = unicodedata.normalize("NFKD", t)  # the marks go with the punctuation
     return _PUNCT.sub("", t.casefold())
