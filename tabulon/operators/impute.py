@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.session import code, narrow
+from tabulon.session import code, cut, narrow
 
 #: A period is a calendar year, so the table of time effects has at most this many rows when it is broadcast.
 MAX_PERIODS = 10_000
@@ -85,11 +85,11 @@ def effects(cells: DataFrame, numbers: list[str]) -> tuple[DataFrame, DataFrame,
 
 def best_categories(df: DataFrame, c: str) -> DataFrame:
     """(g, t, fill, mask): the most likely category for every (group, period) that misses one."""
-    have = df.filter(is_category(c)).groupBy("g", "t", F.col(c).alias("c")).agg(F.count("*").alias("n"))
+    have = cut(df.filter(is_category(c)).groupBy("g", "t", F.col(c).alias("c")).agg(F.count("*").alias("n")))
     in_group = have.filter("g is not null").groupBy("g", "c").agg(F.sum("n").alias("n_g"))
     overall = have.groupBy("c").agg(F.sum("n").alias("n_c"))
-    total = have.agg(F.sum("n").alias("n_all"))
-    share = overall.join(F.broadcast(total), how="inner").select("c", (F.col("n_c") / F.col("n_all")).alias("share"))  # one row of totals
+    total = have.agg(F.sum("n")).first()[0] or 1
+    share = overall.select("c", (F.col("n_c") / total).alias("share"))
     in_time = have.filter("t is not null").groupBy("t", "c").agg(F.sum("n").alias("n_tc"))
     per_time = in_time.groupBy("t").agg(F.sum("n_tc").alias("n_t"))
     need = df.filter(~is_category(c)).select("g", "t").distinct()
@@ -111,7 +111,8 @@ def mixed_fill(df: DataFrame, group: Column, time: Column, numbers: list[str], c
     x = df.withColumns(keys)
     logs = {c: F.when(is_number(c), F.ln(F.col(c))) for c in numbers}
     sums = [a for c, y in logs.items() for a in (F.count(y).alias(f"n_{c}"), F.coalesce(F.sum(y), F.lit(0.0)).alias(f"s_{c}"), F.coalesce(F.sum(y * y), F.lit(0.0)).alias(f"q_{c}"))]
-    cells = df.select(group.alias("g"), time.alias("t"), *numbers).groupBy("g", "t").agg(*sums)
+    # one row per group and period, read for every component and effect below
+    cells = cut(df.select(group.alias("g"), time.alias("t"), *numbers).groupBy("g", "t").agg(*sums))
     u, v, mean = effects(cells, numbers)
     u = u.select(F.col("g").alias("__g"), *[F.col(f"u_{c}").alias(f"__u_{c}") for c in numbers])
     v = v.select(F.col("t").alias("__t"), *[F.col(f"v_{c}").alias(f"__v_{c}") for c in numbers])
