@@ -26,16 +26,14 @@ def correlation(a: Column, b: Column) -> Column:
 def statistic(stat: str, x: Column, w: Column | None = None, order: Column | None = None) -> Column:
     """One statistic of x, skipping missings; w weights it, order says what first and last mean."""
     x = x.cast("double")
-    if stat in QUANTILES:
-        return F.percentile(x, F.lit(QUANTILES[stat]))
     if stat in ("first", "last"):
         if order is None:
             raise DataError(198, "first and last need an order")
         return (F.min_by if stat == "first" else F.max_by)(x, F.when(x.isNotNull(), order))
     if stat in ("count", "n", "N"):
         return F.count(x).cast("double")
-    if stat == "iqr":
-        return F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))
+    if is_quantile(stat):
+        raise DataError(198, "percentiles come from quantiles()")
     if stat in ("max", "min", "range"):
         return {"max": F.max(x), "min": F.min(x), "range": F.max(x) - F.min(x)}[stat]
     if w is None:
@@ -58,6 +56,53 @@ def statistic(stat: str, x: Column, w: Column | None = None, order: Column | Non
     raise DataError(198, f"unknown statistic {stat}")
 
 
+#: Buckets into which ``order_stats`` cuts the values of a group.
+BUCKETS = 32
+
+
+def _key(by: list[str]) -> Column:
+    """The group as one struct: structs are equal where their fields are, missing ones included."""
+    return F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+
+
+def order_stats(df: DataFrame, by: list[str], columns: list[str], ps: list[float]) -> DataFrame:
+    """(k, v, p0, p1, ...): exact percentiles by the linear rule of each column v in each group k.
+
+    No group is ever sorted, or hashed, in one task: repeated values are counted first, the
+    distinct values of a group are cut into BUCKETS at approximate quantiles, and only the
+    buckets that hold a wanted rank are ordered.
+    """
+    pair = F.explode(F.array(*[F.struct(F.lit(c).alias("v"), F.col(c).cast("double").alias("x")) for c in columns]))
+    x = df.select(_key(by).alias("k"), pair.alias("p")).select("k", "p.v", "p.x").filter("x is not null and not isnan(x)")
+    cuts = x.groupBy("k", "v").agg(F.percentile_approx("x", F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(1000)).alias("cuts"), F.count("*").alias("n"))
+    d = x.groupBy("k", "v", "x").agg(F.count("*").alias("c")).join(cuts, ["k", "v"])
+    d = d.select("k", "v", "x", "c", "n", F.size(F.filter("cuts", lambda q: q < F.col("x"))).alias("b"))
+    w = W.partitionBy("k", "v").orderBy("b")  # at most BUCKETS rows a group
+    size = d.groupBy("k", "v", "n", "b").agg(F.sum("c").alias("m")).withColumn("start", F.sum("m").over(w) - F.col("m"))
+    low = [F.floor(F.lit(p) * (F.col("n") - 1)) for p in ps]
+    high = [F.least(r + 1, F.col("n") - 1) for r in low]
+    wanted = F.exists(F.array(*low, *high), lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("m")))
+    hit = d.join(size.filter(wanted).select("k", "v", "b", "start"), ["k", "v", "b"])
+    hit = hit.withColumn("hi", F.col("start") + F.sum("c").over(W.partitionBy("k", "v", "b").orderBy("x"))).withColumn("lo", F.col("hi") - F.col("c"))
+    at = lambda r: F.max(F.when((F.col("lo") <= r) & (F.col("hi") > r), F.col("x")))
+    value = [at(a) + (F.lit(p) * (F.max("n") - 1) - F.max(a)) * (at(b) - at(a)) for p, a, b in zip(ps, low, high, strict=True)]
+    return hit.groupBy("k", "v").agg(*[v.alias(f"p{i}") for i, v in enumerate(value)])
+
+
+def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """(k, one column per name): ``wanted`` maps a name to (median, p1 to p99 or iqr, column)."""
+    levels = lambda s: [0.25, 0.75] if s == "iqr" else [QUANTILES[s]]
+    ps = sorted({p for s, _ in wanted.values() for p in levels(s)})
+    o = order_stats(df, by, sorted({c for _, c in wanted.values()}), ps)
+    pick = lambda c, p: F.max(F.when(F.col("v") == c, F.col(f"p{ps.index(p)}")))
+    cols = [(pick(c, 0.75) - pick(c, 0.25) if s == "iqr" else pick(c, QUANTILES[s])).alias(n) for n, (s, c) in wanted.items()]
+    return o.groupBy("k").agg(*cols)
+
+
+def is_quantile(stat: str) -> bool:
+    return stat in QUANTILES or stat == "iqr"
+
+
 def collapse(df: DataFrame, stats: dict[str, tuple[str, str]], by: list[str] = (), weight: str | None = None, where: Column | None = None, order: Column | None = None) -> DataFrame:
     """``stats``: new name to (statistic, column). A missing group key forms a group; without ``by`` one row."""
     if where is not None:
@@ -66,8 +111,13 @@ def collapse(df: DataFrame, stats: dict[str, tuple[str, str]], by: list[str] = (
     if weight is not None:
         df = df.filter(F.col(weight) > 0)
         w = F.col(weight).cast("double")
-    cols = [statistic(s, F.col(c), w, order).alias(n) for n, (s, c) in stats.items()]
-    return df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
+    ranks = {n: sc for n, sc in stats.items() if is_quantile(sc[0])}
+    cols = [statistic(s, F.col(c), w, order).alias(n) for n, (s, c) in stats.items() if n not in ranks]
+    if not ranks:
+        return df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
+    base = df.groupBy(*by).agg(*(cols or [F.count("*").alias("__n")])) if by else df.agg(*(cols or [F.count("*").alias("__n")]))
+    out = base.withColumn("k", _key(by)).join(quantiles(df, by, ranks), "k", "left")
+    return out.select(*by, *stats)
 
 
 def summarize(df: DataFrame, names: list[str], by: list[str] = (), weight: str | None = None, kind: str = "aweight", detail: bool = False) -> DataFrame:
@@ -94,10 +144,10 @@ def summarize(df: DataFrame, names: list[str], by: list[str] = (), weight: str |
     if detail:
         n = F.count(v)
         ps = (1, 5, 10, 25, 50, 75, 90, 95, 99)
-        cols.append(F.percentile(v, F.array(*[F.lit(p / 100) for p in ps])).alias("__p"))
         cols += [F.var_samp(v).alias("variance"), (F.skewness(v) * F.pow(F.try_divide(n - 1, n), F.lit(1.5))).alias("skewness"), ((F.kurtosis(v) + 3) * F.pow(F.try_divide(n - 1, n), F.lit(2))).alias("kurtosis")]
-        out = x.groupBy(*by, "variable").agg(*cols)
-        return out.withColumns({f"p{p}": F.col("__p")[i] for i, p in enumerate(ps)}).drop("__p")
+        q = order_stats(df, by, names, [p / 100 for p in ps]).select("k", F.col("v").alias("variable"), *[F.col(f"p{i}").alias(f"p{p}") for i, p in enumerate(ps)])
+        out = x.groupBy(*by, "variable").agg(*cols).withColumn("k", _key(by))
+        return out.join(q, ["k", "variable"], "left").drop("k")
     return x.groupBy(*by, "variable").agg(*cols)
 
 
@@ -127,10 +177,18 @@ def tabulate(df: DataFrame, *names: str, weight: str | None = None, missing: boo
 
 def tabstat(df: DataFrame, names: list[str], stats: list[str], by: str | None = None) -> DataFrame:
     """One row per group and a total row (is_total = 1), columns <name>_<stat>."""
-    cols = [statistic(s, F.col(n)).alias(f"{n}_{s}") for n in names for s in stats]
+    pairs = [(n, s) for n in names for s in stats]
+    cols = [statistic(s, F.col(n)).alias(f"{n}_{s}") for n, s in pairs if not is_quantile(s)]
+    ranks = {f"{n}_{s}": (s, n) for n, s in pairs if is_quantile(s)}
+    order = [f"{n}_{s}" for n, s in pairs]
     if by is None:
-        return df.agg(*cols)
-    return df.rollup(by).agg(F.grouping(by).cast("int").alias("is_total"), *cols)
+        return collapse(df, {f"{n}_{s}": (s, n) for n, s in pairs})
+    base = df.rollup(by).agg(F.grouping(by).cast("int").alias("is_total"), *cols)
+    if ranks:
+        none = F.struct(F.lit(None).cast(dict(df.dtypes)[by]).alias(by))
+        q = quantiles(df, [by], ranks).withColumn("is_total", F.lit(0)).unionByName(quantiles(df, [], ranks).withColumn("k", none).withColumn("is_total", F.lit(1)))
+        base = base.withColumn("k", F.struct(by)).join(q, ["k", "is_total"], "left")
+    return base.select(by, "is_total", *order)
 
 
 def codebook(df: DataFrame, names: list[str]) -> DataFrame:

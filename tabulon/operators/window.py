@@ -129,6 +129,19 @@ def egen(stat: str, x: Column, by: list[str], where: Column | None = None, p: fl
     return out if where is None else F.when(truth(where), out)
 
 
+def egen_join(df: DataFrame, stats: dict[str, tuple[str, str]], by: list[str]) -> DataFrame:
+    """Group statistics given to every row, as an aggregate joined back.
+
+    ``egen`` is a window, which brings a whole group to one task; here a group that holds a
+    third of all rows is aggregated on the map side and its rows are joined where adaptive
+    execution may split them. Names map to (statistic, column) as in ``collapse``.
+    """
+    from tabulon.operators.aggregate import collapse
+
+    g = collapse(df, stats, by).select(F.struct(*by).alias("__k"), *stats)
+    return df.withColumn("__k", F.struct(*by)).join(g, "__k", "left").drop("__k")
+
+
 def tag(by: list[str], order: list[str]) -> Column:
     """1 in the first row of each group, else 0."""
     return (F.row_number().over(W.partitionBy(*by).orderBy(*ordering(*order))) == 1).cast("double")

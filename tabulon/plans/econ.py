@@ -178,9 +178,18 @@ def by_lag(spark, d):
 
 @query("select p_partkey, round(avg(p_retailprice) over w, 4) as mean, round(stddev_samp(p_retailprice) over w, 4) as sd, round(sum(p_retailprice) over w, 2) as total, cast(count(*) over w as double) as n, min(p_retailprice) over w as lo, max(p_retailprice) over w as hi, round(quantile_cont(p_retailprice, 0.5) over w, 4) as med, round(quantile_cont(p_retailprice, 0.9) over w, 4) as p90 from part window w as (partition by p_brand)")
 def egen_stats(spark, d):
-    x = F.col("p_retailprice")
-    g = lambda s, **k: WN.egen(s, x, ["p_brand"], **k)
-    return table(spark, d, "part").select("p_partkey", F.round(g("mean"), 4).alias("mean"), F.round(g("sd"), 4).alias("sd"), F.round(g("total"), 2).alias("total"), g("count").alias("n"), g("min").alias("lo"), g("max").alias("hi"), F.round(g("median"), 4).alias("med"), F.round(g("pc", p=90), 4).alias("p90"))
+    x = "p_retailprice"
+    g = WN.egen_join(table(spark, d, "part"), {"mean": ("mean", x), "sd": ("sd", x), "total": ("sum", x), "n": ("count", x), "lo": ("min", x), "hi": ("max", x), "med": ("median", x), "p90": ("p90", x)}, ["p_brand"])
+    return g.select("p_partkey", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), F.round("total", 2).alias("total"), "n", "lo", "hi", F.round("med", 4).alias("med"), F.round("p90", 4).alias("p90"))
+
+
+@query("select event_id, round(avg(case when event_type <> 'error' then v end) over (partition by user_id), 6) as m, round(quantile_cont(v, 0.5) over (partition by user_id), 6) as med from " + GAPPY)
+def egen_window(spark, d):
+    """The window form, with a condition on the rows."""
+    e = gappy(spark, d)
+    some = F.col("event_type") != "error"
+    mean = F.avg(F.when(some, F.col("v"))).over(WN.By("user_id").all)
+    return e.select("event_id", F.round(mean, 6).alias("m"), F.round(WN.egen("median", F.col("v"), ["user_id"]), 6).alias("med"))
 
 
 @query("select p_partkey, l[1 + (n - 1) // 4] as q1, l[1 + 3 * (n - 1) // 4] as q3, round(l[1 + 3 * (n - 1) // 4] - l[1 + (n - 1) // 4], 6) as iqr from (select p_partkey, list_sort(list(p_retailprice) over (partition by p_brand)) as l, count(*) over (partition by p_brand) as n from part)")
