@@ -48,7 +48,8 @@ def grunfeld(spark: SparkSession, d: str) -> DataFrame:
     return A.duplicates_drop(g, ["firm", "year"], ["row_id"])
 
 
-GRUNFELD = "(select * from (select row_id, cast(firm as bigint) as firm, cast(year as int) as year, invest, value, capital, row_number() over (partition by firm, year order by row_id) as rn from grunfeld where firm is not null and year is not null and invest > 0 and invest < 1e12 and value > 0 and value < 1e12 and capital > 0 and capital < 1e12) where rn = 1)"
+# NaN is excluded by its text: column statistics, which leave NaN out, may make the engine drop the range test
+GRUNFELD = "(select * from (select row_id, cast(firm as bigint) as firm, cast(year as int) as year, invest, value, capital, row_number() over (partition by firm, year order by row_id) as rn from grunfeld where firm is not null and year is not null and invest > 0 and invest < 1e12 and value > 0 and value < 1e12 and capital > 0 and capital < 1e12 and cast(invest as varchar) <> 'nan' and cast(value as varchar) <> 'nan' and cast(capital as varchar) <> 'nan') where rn = 1)"
 
 
 def _x(*names: str) -> dict:
