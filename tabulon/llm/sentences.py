@@ -75,8 +75,9 @@ _DOTS = [
 DOTS = rf"\.(?:{'|'.join(_DOTS)})"
 #: Zero-width places where a sentence ends, by script: cased letters, Han and kana, Devanagari, Thai.
 LATIN = rf"(?=\s)(?<=[.!?][)\]]?|[.!?]\s?[{CLOSE}{FINAL}][)\]]?)(?=\s++{START})"
-HAN = rf"{LATIN}|(?<=[。！？])(?![{CLOSE}{FINAL}）)」』”]|\s*\z)|(?<=[。！？?!][{FINAL}])(?=\s*{_HAN})"
-DEVANAGARI = rf"{LATIN}|(?=\s)(?<=[।?!]|[।?!.]\s?{FINAL})(?=\s++\p{{IsDevanagari}})|(?<=।)(?=\s++\S)"
+_NEXT = r"[\p{L}\p{N}\p{Ps}█]"  # after a quotation that closed its sentence: a word, figure, bracket or redaction
+HAN = rf"{LATIN}|(?<=[。！？])(?![{CLOSE}{FINAL}）)」』”]|\s*\z)|(?<=[。！？?!][{FINAL}])(?=\s*{_NEXT})"
+DEVANAGARI = rf"{LATIN}|(?=\s)(?<=[।?!])(?=\s++\p{{IsDevanagari}})|(?=\s)(?<=[।?!.]\s?{FINAL})(?=\s++{_NEXT})|(?<=।)(?=\s++\S)"
 THAI = r"(?=\s)(?<=[\u0e00-\u0e7f])(?=\s++[\u0e00-\u0e7f])"
 CLOSED = rf"[{TERM}][)\]」』”’“»\"\s]*\z"
 
