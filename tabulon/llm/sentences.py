@@ -39,12 +39,11 @@ TERM = ".!?。！？।"
 _BLANKS = " \t\n\r\x0b\x0c\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u3000\ufeff"
 BLANK = f"[{_BLANKS}]"
 START = rf"[\p{{Lu}}\p{{Lt}}\p{{Pi}}\p{{Ps}}{OPEN}\"'“„«‘¿¡█¶§]"
-_HAN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
 
 
 def _any(words: list[str]) -> str:
-    """One pattern of all words with their capital forms, branching on the first letter."""
-    forms = sorted({x for w in words for x in (w, w[:1].upper() + w[1:], w.upper())}, key=lambda w: (-len(w), w))
+    """One pattern of all words with their capital forms, longer ones in lower case too, branching on the first letter."""
+    forms = sorted({x for w in words for x in (w, w[:1].upper() + w[1:], w.upper(), w.lower() if len(w) > 3 else w)}, key=lambda w: (-len(w), w))
     by_first: dict[str, list[str]] = {}
     for w in forms:
         by_first.setdefault(w[0], []).append(w[1:].replace(".", r"\.").replace(" ", r"\s"))
@@ -62,7 +61,9 @@ PAIRS = rf'(?=[„“«「『‘"])(?:„{_inner("„“”")}[“”]|“{_inne
 #: Dots that end no sentence, each case anchored at its dot:
 _DOTS = [
     rf"(?=[^\s{CLOSE}{FINAL})\]”’»])",  # inside numbers, addresses, initials, dots of omission
-    rf"(?={BLANK}++[\p{{Ll}}\p{{N}}\p{{Lo}}.])",  # before lower case, digits and letters without case
+    rf"(?={BLANK}++[\p{{N}}\p{{Lo}}.])",  # before digits and letters without case
+    rf"(?<![\p{{L}}\p{{M}}]{{4}}\.|\d{{4}}\.)(?={BLANK}++\p{{Ll}})",  # before lower case, but for full words and years: text set in lower case
+    rf"(?<={_EDGE}(?:{_any(MAYBE)})\.)(?={BLANK}++\p{{Ll}})",
     rf"{_FOLLOWED}(?<={_EDGE}(?:{_any([w for ws in ALWAYS.values() for w in ws])})\.)",  # abbreviations
     rf"(?<={_EDGE}(?:[A-Z]\.[A-Z]|{_any(MAYBE)})\.)(?={BLANK}++(?:[$€£(&/]|Cr\W|KG\b))",  # endings of names that go on
     rf"(?<={_EDGE}(?:[zZ]\.\s?B|[aA]\.\s?D)\.){_FOLLOWED}|(?<={_EDGE}[zZ]\.)(?=\s?B\.)|(?<={_EDGE}[aA]\.)(?=\s?D\.)",
@@ -74,7 +75,7 @@ _DOTS = [
 ]
 DOTS = rf"\.(?:{'|'.join(_DOTS)})"
 #: Zero-width places where a sentence ends, by script: cased letters, Han and kana, Devanagari, Thai.
-LATIN = rf"(?=\s)(?<=[.!?][)\]]?|[.!?]\s?[{CLOSE}{FINAL}][)\]]?)(?=\s++{START})"
+LATIN = rf"(?=\s)(?<=[.!?][)\]]?|[.!?]\s?[{CLOSE}{FINAL}][)\]]?)(?=\s++{START})|(?=\s)(?<=[.!?])(?=\s++\p{{Ll}})"
 _NEXT = r"[\p{L}\p{N}\p{Ps}█]"  # after a quotation that closed its sentence: a word, figure, bracket or redaction
 HAN = rf"{LATIN}|(?<=[。！？])(?![{CLOSE}{FINAL}）)」』”]|\s*\z)|(?<=[。！？?!][{FINAL}])(?=\s*{_NEXT})"
 DEVANAGARI = rf"{LATIN}|(?=\s)(?<=[।?!])(?=\s++\p{{IsDevanagari}})|(?=\s)(?<=[।?!.]\s?{FINAL})(?=\s++{_NEXT})|(?<=।)(?=\s++\S)"

@@ -22,6 +22,9 @@ def cut(spark, text):
         ("他写下“好。没有。”并走了。价值3.5元。证人称：“在哪里？”他走了。", ["他写下“好。没有。”并走了。", "价值3.5元。", "证人称：“在哪里？”", "他走了。"]),
         ("彼は「良い。」と述べた。次か？終わり。", ["彼は「良い。」と述べた。", "次か？", "終わり。"]),
         ("न्या. Roy ने “कहाँ है?” लिखा। गवाह ने कहा: “यहाँ।” रु. 5.5 में बिका।", ["न्या. Roy ने “कहाँ है?” लिखा।", "गवाह ने कहा: “यहाँ।”", "रु. 5.5 में बिका।"]),
+        ("गवाह ने कहा: “यह मौखिक है। किसी ने नहीं देखा।” Roy का कहना है। वह ने “कहाँ है?” लिखा।", ["गवाह ने कहा: “यह मौखिक है। किसी ने नहीं देखा।”", "Roy का कहना है।", "वह ने “कहाँ है?” लिखा।"]),
+        ("证人称：“在哪里？”2021年他走了。证人称：“好。”[redacted]先付。", ["证人称：“在哪里？”", "2021年他走了。", "证人称：“好。”", "[redacted]先付。"]),
+        ("It is late, cf. Sec. 2 of the code. a boat near stone cost approx. ten crowns. on 3 sept. 2011 stone ltd. and roe corp. left on 9.4.1992. no one came.", ["It is late, cf. Sec. 2 of the code.", "a boat near stone cost approx. ten crowns.", "on 3 sept. 2011 stone ltd. and roe corp. left on 9.4.1992.", "no one came."]),
         ("(1) ศาลเห็น 3.6.1998 ว่า ดี. ไม่ Ltd. แล้ว จำเลย\nอ้าง", ["(1) ศาลเห็น 3.6.1998 ว่า", "ดี. ไม่ Ltd. แล้ว", "จำเลย", "อ้าง"]),
         ("It went to X…. They asked … but left. [redacted] said no.", ["It went to X….", "They asked … but left.", "[redacted] said no."]),
         ("A 😀 day. Next one.", ["A 😀 day.", "Next one."]),
