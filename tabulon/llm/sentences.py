@@ -62,10 +62,10 @@ PAIRS = rf'(?=[„“«「『‘"])(?:„{_inner("„“”")}[“”]|“{_inne
 _DOTS = [
     rf"(?=[^\s{CLOSE}{FINAL})\]”’»])",  # inside numbers, addresses, initials, dots of omission
     rf"(?={BLANK}++[\p{{N}}\p{{Lo}}.])",  # before digits and letters without case
-    rf"(?<![\p{{L}}\p{{M}}]{{4}}\.|\d{{4}}\.)(?={BLANK}++\p{{Ll}})",  # before lower case, but for full words and years: text set in lower case
-    rf"(?<={_EDGE}(?:{_any(MAYBE)})\.)(?={BLANK}++\p{{Ll}})",
+    rf"(?={BLANK}++\p{{Ll}})(?<![\p{{L}}\p{{M}}]{{4}}\.|\d{{4}}\.)",  # before lower case, but for full words and years: text set in lower case
+    rf"(?={BLANK}++\p{{Ll}})(?<={_EDGE}(?:{_any(MAYBE)})\.)",
     rf"{_FOLLOWED}(?<={_EDGE}(?:{_any([w for ws in ALWAYS.values() for w in ws])})\.)",  # abbreviations
-    rf"(?<={_EDGE}(?:[A-Z]\.[A-Z]|{_any(MAYBE)})\.)(?={BLANK}++(?:[$€£(&/]|Cr\W|KG\b))",  # endings of names that go on
+    rf"(?={BLANK}++(?:[$€£(&/]|Cr\W|KG\b))(?<={_EDGE}(?:[A-Z]\.[A-Z]|{_any(MAYBE)})\.)",  # endings of names that go on
     rf"(?<={_EDGE}(?:[zZ]\.\s?B|[aA]\.\s?D)\.){_FOLLOWED}|(?<={_EDGE}[zZ]\.)(?=\s?B\.)|(?<={_EDGE}[aA]\.)(?=\s?D\.)",
     rf"(?<={_EDGE}U\.)(?=\s?A\.)|(?<={_EDGE}U\.\s?A\.)(?=\s+\p{{Lu}}{{2}})",
     r"(?<=\A\s{0,8}(?:\d{1,5}|[IVX]{1,6}|\p{Lu})\.)(?=\s)",  # paragraph numbers
@@ -75,7 +75,7 @@ _DOTS = [
 ]
 DOTS = rf"\.(?:{'|'.join(_DOTS)})"
 #: Zero-width places where a sentence ends, by script: cased letters, Han and kana, Devanagari, Thai.
-LATIN = rf"(?=\s)(?<=[.!?][)\]]?|[.!?]\s?[{CLOSE}{FINAL}][)\]]?)(?=\s++{START})|(?=\s)(?<=[.!?])(?=\s++\p{{Ll}})"
+LATIN = rf"(?=\s)(?<=[.!?)\]{CLOSE}{FINAL}])(?:(?<=[.!?][)\]]?|[.!?]\s?[{CLOSE}{FINAL}][)\]]?)(?=\s++{START})|(?<=[.!?])(?=\s++\p{{Ll}}))"
 _NEXT = r"[\p{L}\p{N}\p{Ps}█]"  # after a quotation that closed its sentence: a word, figure, bracket or redaction
 HAN = rf"{LATIN}|(?<=[。！？])(?![{CLOSE}{FINAL}）)」』”]|\s*\z)|(?<=[。！？?!][{FINAL}])(?=\s*{_NEXT})"
 DEVANAGARI = rf"{LATIN}|(?=\s)(?<=[।?!])(?=\s++\p{{IsDevanagari}})|(?=\s)(?<=[।?!.]\s?{FINAL})(?=\s++{_NEXT})|(?<=।)(?=\s++\S)"
