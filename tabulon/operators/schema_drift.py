@@ -75,22 +75,31 @@ def squashed(x: Column) -> Column:
     return F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
 
 
-def read_files(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """(file_id, feed, delivery_no, prev_id, line_no, names, cells): data lines with their file's header."""
+def read_schemas(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """(file_id, feed, delivery_no, prev_id, version_no, delimiter, names): one row per file with a header."""
     w = W.partitionBy("feed").orderBy("delivery_no", "file_id")  # rows of (feed, file) only, a few bytes each
     chain = files.select("file_id", "feed", "delivery_no").withColumn("prev_id", F.lag("file_id").over(w)).withColumn("version_no", F.row_number().over(w))
-    lines = lines.select("file_id", "line_no", "raw_line").filter(F.col("raw_line").isNotNull())
-    head = lines.filter("line_no = 1").select("file_id", F.when(F.col("raw_line").contains("\t"), "\t").otherwise(",").alias("delimiter"), F.col("raw_line").alias("header"))
+    head = lines.filter("line_no = 1 and raw_line is not null").select("file_id", F.when(F.col("raw_line").contains("\t"), "\t").otherwise(",").alias("delimiter"), F.col("raw_line").alias("header"))
     head = head.withColumn("names", F.transform(split_cells(F.col("header"), F.col("delimiter")), field_name)).drop("header")
-    body = lines.filter("line_no > 1")
-    return chain.join(head, "file_id").join(body, "file_id").select("file_id", "feed", "delivery_no", "prev_id", "version_no", "line_no", "names", split_cells(F.col("raw_line"), F.col("delimiter")).alias("cells"))
+    return chain.join(head, "file_id")
 
 
-def long_cells(rows: DataFrame) -> DataFrame:
-    """(file_id, line_no, name, value): one row per cell, missing spelt as null."""
+def read_rows(schemas: DataFrame, lines: DataFrame) -> DataFrame:
+    """(file_id, feed, delivery_no, prev_id, version_no, line_no, names, cells): data lines with their file's header."""
+    body = lines.filter("line_no > 1 and raw_line is not null").select("file_id", "line_no", "raw_line")
+    return schemas.join(body, "file_id").select("file_id", "feed", "delivery_no", "prev_id", "version_no", "line_no", "names", split_cells(F.col("raw_line"), F.col("delimiter")).alias("cells"))
+
+
+def long_cells(schemas: DataFrame, rows: DataFrame) -> DataFrame:
+    """(file_id, name, value): one row per cell, missing spelt as null; one more, null, per field of a header."""
     pair = F.explode(F.arrays_zip(F.col("names").alias("n"), F.col("cells").alias("v")))
-    x = rows.select("file_id", "line_no", pair.alias("p")).select("file_id", "line_no", F.col("p.n").alias("name"), F.col("p.v").alias("value")).filter("name <> ''")
-    return x.withColumn("value", F.when(~F.lower("value").isin(MISSING), F.col("value")))
+    x = rows.select("file_id", pair.alias("p")).select("file_id", F.col("p.n").alias("name"), present(F.col("p.v")).alias("value"))
+    fields = schemas.select("file_id", F.explode("names").alias("name"), F.lit(None).cast("string").alias("value"))
+    return x.unionByName(fields).filter("name <> ''")
+
+
+def present(v: Column) -> Column:
+    return F.when(~F.lower(v).isin(MISSING), v)
 
 
 def field_types(cells: DataFrame) -> DataFrame:
@@ -114,8 +123,8 @@ def fingerprints(types: DataFrame) -> DataFrame:
     return types.groupBy("file_id").agg(F.sha2(F.concat_ws("|", F.sort_array(F.collect_list(item))), 256).alias("fingerprint"))
 
 
-def series_keys(cells: DataFrame, types: DataFrame) -> DataFrame:
-    """(file_id, line_no, series): ISO.CODE of a line, found by the fields' content, then by their names."""
+def key_roles(types: DataFrame) -> DataFrame:
+    """(file_id, roles): map of the fields that name a line's series to their roles, found by content, then by name."""
     sq = squashed(F.col("name"))
     has = F.col("n") > 0
     role = (
@@ -126,11 +135,13 @@ def series_keys(cells: DataFrame, types: DataFrame) -> DataFrame:
         .when(has & (F.col("sub") == F.col("n")) & (F.col("type") == "text"), "5subject")
     )
     keyed = types.select("file_id", "name", role.alias("role")).filter("role is not null")
-    x = cells.join(keyed, ["file_id", "name"]).filter("value is not null")
-    pick = lambda r: F.min(F.when(F.col("role") == r, F.upper("value")))
-    x = x.groupBy("file_id", "line_no").agg(pick("1series").alias("s"), F.coalesce(pick("2iso"), pick("4iso")).alias("i"), F.coalesce(pick("3subject"), pick("5subject")).alias("c"))
-    key = F.coalesce("s", F.concat_ws(".", "i", "c"))
-    return x.select("file_id", "line_no", key.alias("series")).filter("series <> ''")
+    return keyed.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "role"))).alias("roles"))
+
+
+def series_of(cells: Column, roles: Column) -> Column:
+    """ISO.CODE of a line from its cells, structs of name n and value v."""
+    pick = lambda r: F.array_min(F.transform(F.filter(cells, lambda c: F.try_element_at(roles, c["n"]) == r), lambda c: F.upper(c["v"])))
+    return F.coalesce(pick("1series"), F.concat_ws(".", F.coalesce(pick("2iso"), pick("4iso")), F.coalesce(pick("3subject"), pick("5subject"))))
 
 
 def drift(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -140,11 +151,11 @@ def drift(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     A pair of names is a rename when only the case differs, or when all series present in
     both files have equal values (at least one; dates by value, a missing cell fits any).
     """
-    rows = read_files(files, lines)
-    cells = long_cells(rows)
-    types = cut(field_types(cells))
+    schemas = cut(read_schemas(files, lines))
+    rows = read_rows(schemas, lines)
+    types = cut(field_types(long_cells(schemas, rows)))
     prints = fingerprints(types)
-    chain = rows.select("file_id", "prev_id").distinct().filter("prev_id is not null")
+    chain = schemas.select("file_id", "prev_id").filter("prev_id is not null")
     moved = (
         chain.join(prints, "file_id")
         .join(prints.select(F.col("file_id").alias("prev_id"), F.col("fingerprint").alias("before")), "prev_id")
@@ -162,7 +173,7 @@ def drift(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     removed = both.filter("state = 'removed'").select("file_id", F.col("name").alias("old_name"), "old_type")
 
     cased = added.withColumn("k", F.lower("new_name")).join(removed.withColumn("k", F.lower("old_name")), ["file_id", "k"]).select("file_id", "old_name", "new_name", F.lit(1 << 30).alias("score"))
-    by_value = value_renames(cells, types, moved, added, removed)
+    by_value = value_renames(rows, types, moved, added, removed)
     pairs = by_value.unionByName(cased)
     best = lambda side: W.partitionBy("file_id", side).orderBy(F.desc("score"), "old_name", "new_name")
     pairs = pairs.withColumn("a", F.row_number().over(best("new_name"))).filter("a = 1").withColumn("b", F.row_number().over(best("old_name"))).filter("b = 1").select("file_id", "old_name", "new_name")
@@ -174,20 +185,38 @@ def drift(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     return renamed.unionByName(only_new).unionByName(only_old).unionByName(retyped), rows, types
 
 
-def value_renames(cells: DataFrame, types: DataFrame, moved: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
-    """(file_id, old_name, new_name, score): pairs whose values agree for every series in both files."""
-    v = F.col("value")
-    dmy = F.concat_ws("-", F.split_part(v, F.lit("/"), F.lit(3)), F.lpad(F.split_part(v, F.lit("/"), F.lit(2)), 2, "0"), F.lpad(F.split_part(v, F.lit("/"), F.lit(1)), 2, "0"))
-    ymd = F.concat_ws("-", F.split_part(v, F.lit("-"), F.lit(1)), F.lpad(F.split_part(v, F.lit("-"), F.lit(2)), 2, "0"), F.lpad(F.split_part(v, F.lit("-"), F.lit(3)), 2, "0"))
-    same = F.when(v.rlike(DATE_DMY), dmy).when(v.rlike(DATE_YMD), ymd).otherwise(v)
-    keyed = cells.filter("value is not null").withColumn("v", same)
-    keys = series_keys(cells, types)
-    new = keyed.join(added, (keyed.file_id == added.file_id) & (keyed.name == added.new_name)).select(keyed.file_id, "line_no", "new_name", "v")
-    new = new.join(keys, ["file_id", "line_no"]).groupBy("file_id", "series", "new_name").agg(F.min("v").alias("v"))
-    lost = removed.join(moved, "file_id")
-    old = keyed.withColumnRenamed("file_id", "prev_id").join(lost, "prev_id").filter("name = old_name").select("file_id", "prev_id", "line_no", "old_name", "v")
-    old = old.join(keys.withColumnRenamed("file_id", "prev_id"), ["prev_id", "line_no"]).groupBy("file_id", "series", "old_name").agg(F.min("v").alias("v"))
-    new, old = cut(new), cut(old)
+def value_renames(rows: DataFrame, types: DataFrame, moved: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """(file_id, old_name, new_name, score): pairs whose values agree for every series in both files.
+
+    The lines are read once more, only those of files with both added and lost names and of the
+    deliveries before them; of each line only the cells of such names go on.
+    """
+    both = added.select("file_id").distinct().join(removed.select("file_id").distinct(), "file_id")
+    gained = added.join(both, "file_id").groupBy("file_id").agg(F.collect_set("new_name").alias("gained"))
+    lost = removed.join(both, "file_id").groupBy("file_id").agg(F.collect_set("old_name").alias("lost")).join(moved, "file_id")
+    lost = lost.select(F.col("prev_id").alias("file_id"), F.col("file_id").alias("next_id"), "lost")
+    wanted = key_roles(types).join(gained.join(lost, "file_id", "full_outer"), "file_id")
+
+    x = rows.select("file_id", "names", "cells").join(wanted, "file_id")
+    filled = F.transform(F.arrays_zip(F.col("names").alias("n"), F.col("cells").alias("v")), lambda p: F.struct(p["n"].alias("n"), present(p["v"]).alias("v")))
+    x = x.withColumn("e", F.filter(filled, lambda p: (p["n"] != "") & p["v"].isNotNull()))
+    x = x.withColumn("series", series_of(F.col("e"), F.col("roles"))).filter("series <> ''")
+
+    def of(side: str, file: str, names: str) -> Column:
+        hits = F.filter("e", lambda p: F.array_contains(names, p["n"]))
+        out = F.transform(hits, lambda p: F.struct(F.lit(side).alias("side"), F.col(file).alias("file_id"), p["n"].alias("name"), p["v"].alias("v")))
+        return F.coalesce(F.when(F.col(names).isNotNull(), out), F.array().cast(f"array<struct<side:string,file_id:{kind},name:string,v:string>>"))
+
+    kind = dict(rows.dtypes)["file_id"]
+    x = x.select("series", F.explode(F.concat(of("new", "file_id", "gained"), of("old", "next_id", "lost"))).alias("c")).select("series", "c.*")
+    v = F.col("v")
+    part = lambda sep, k: F.split_part(v, F.lit(sep), F.lit(k))
+    dmy = F.concat_ws("-", part("/", 3), F.lpad(part("/", 2), 2, "0"), F.lpad(part("/", 1), 2, "0"))
+    ymd = F.concat_ws("-", part("-", 1), F.lpad(part("-", 2), 2, "0"), F.lpad(part("-", 3), 2, "0"))
+    x = x.withColumn("v", F.when(v.rlike(DATE_DMY), dmy).when(v.rlike(DATE_YMD), ymd).otherwise(v))
+    x = cut(x.groupBy("file_id", "series", "side", "name").agg(F.min("v").alias("v")))
+    new = x.filter("side = 'new'").select("file_id", "series", F.col("name").alias("new_name"), "v")
+    old = x.filter("side = 'old'").select("file_id", "series", F.col("name").alias("old_name"), "v")
     agree = new.join(old, ["file_id", "series", "v"]).groupBy("file_id", "old_name", "new_name").agg(F.count("*").alias("score"))
     common = agree.join(new.drop("v"), ["file_id", "new_name"]).join(old.drop("v"), ["file_id", "series", "old_name"]).groupBy("file_id", "old_name", "new_name").agg(F.max("score").cast("int").alias("score"), F.count("*").alias("common"))
     return common.filter("score = common").drop("common")
