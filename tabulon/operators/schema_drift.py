@@ -6,7 +6,8 @@ become migration steps (rename, default, cast) which are chained back to the fir
 delivery, so that every file is routed into one consistent table.
 
 Defined results for odd input: null or empty lines give no cells; a header without a name
-at a position drops that cell; repeated names in one header keep the first position;
+at a position drops that cell; repeated names in one header are one field, typed over all
+its cells, which gives its first filled cell;
 repeated series in one file compare by their smallest value; a file without data rows has
 fields of no type, which are never ``retyped``; extra columns of the inputs are ignored.
 """
@@ -265,9 +266,13 @@ def consistent_table(files: DataFrame, lines: DataFrame) -> DataFrame:
     one = lambda column: F.try_element_at(F.filter("e", lambda p: p["k"] == column), F.lit(1))["v"]
     number = lambda v: F.regexp_replace(v, ",", "").try_cast("double")
 
+    by_key = F.array_sort("e", lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0))  # a stable sort
+    x = x.withColumn("e", by_key)
+    x = x.withColumn("e", F.filter("e", lambda p, i: (i == 0) | (F.try_element_at("e", F.greatest(i, F.lit(1)))["k"] != p["k"])))  # the first filled cell of each
+
     def as_map(prefix: str, value) -> Column:
         kept = F.filter("e", lambda p: p["k"].startswith(prefix))
-        return F.to_json(F.map_from_entries(F.array_distinct(F.transform(F.array_sort(kept, lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)), lambda p: F.struct(F.substr(p["k"], F.lit(2)), value(p["v"]))))))
+        return F.to_json(F.map_from_entries(F.transform(kept, lambda p: F.struct(F.substr(p["k"], F.lit(2)), value(p["v"])))))
 
     cols = [one(c).alias(c) for c in CANONICAL if c != "updated"]
     d = one("updated")
