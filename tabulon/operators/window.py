@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tabulon.functions.missing import truth
 from tabulon.operators.prep import DataError
+from tabulon.session import cut
 
 
 def ordering(*keys: str | Column) -> list[Column]:
@@ -63,9 +64,13 @@ class By:
 
 
 def numbered(df: DataFrame, *keys: str, name: str = "_n") -> DataFrame:
-    """A dense row number over the whole frame in the order of the keys, without a single-partition window."""
+    """A dense row number over the whole frame in the order of the keys, without a single-partition window.
+
+    The range bounds are sampled anew in each run, so the partitions are written once and both
+    the counts and the rows are read from there.
+    """
     part = df.repartitionByRange(*ordering(*keys)).sortWithinPartitions(*ordering(*keys)).withColumn("__p", F.spark_partition_id())
-    part = part.withColumn("__m", F.monotonically_increasing_id())
+    part = cut(part.withColumn("__m", F.monotonically_increasing_id()))
     sizes = part.groupBy("__p").agg(F.count("*").alias("__c"), F.min("__m").alias("__lo"))
     starts = {r["__p"]: (r["__c"], r["__lo"]) for r in sizes.collect()}  # one pair per partition
     at, offset = {}, 0
