@@ -408,6 +408,28 @@ def reshape_long(spark, d):
     return R.long(R.wide(_status_year(spark, d), ["price", "cnt"], ["o_orderstatus"], "yr"), ["price", "cnt"], ["o_orderstatus"], "yr")
 
 
+_YEARS = range(1995, 2002)
+_CUST_YEAR = "(select o_custkey, year(o_orderdate) as yr, round(sum(o_totalprice), 2) as price, cast(count(*) as double) as cnt from orders group by 1, 2)"
+_CUST_WIDE = f"(select o_custkey, {', '.join(f'max(case when yr = {y} then {c} end) as {c}{y}' for y in _YEARS for c in ('price', 'cnt'))} from {_CUST_YEAR} group by 1)"
+
+
+def _customer_year(spark, d):
+    o = table(spark, d, "orders").withColumn("yr", F.year("o_orderdate"))
+    x = A.collapse(o, {"price": ("sum", "o_totalprice"), "cnt": ("count", "o_totalprice")}, ["o_custkey", "yr"])
+    return x.withColumn("price", F.round("price", 2))
+
+
+@query(f"select * from {_CUST_WIDE}")
+def reshape_wide_customers(spark, d):
+    """One row per customer from all orders of all years; grows with the table."""
+    return R.wide(_customer_year(spark, d), ["price", "cnt"], ["o_custkey"], "yr")
+
+
+@query(f"select o_custkey, y as yr, price, cnt from ({' union all '.join(f'select o_custkey, {y} as y, price{y} as price, cnt{y} as cnt from {_CUST_WIDE}' for y in _YEARS)})")
+def reshape_long_customers(spark, d):
+    return R.long(reshape_wide_customers(spark, d), ["price", "cnt"], ["o_custkey"], "yr")
+
+
 @query("select p_partkey, case when p_size between 1 and 10 then 1.0 when p_size in (11, 15) then 2.0 when p_size > 40 then 3.0 else cast(p_size as double) end as grp, case when p_retailprice < 1000 then 0.0 else 9.0 end as cls from part")
 def recode_ranges(spark, d):
     x = P.recode(table(spark, d, "part"), ["p_size"], [((1, 10), 1), ([11, 15], 2), ((41, None), 3)], ["grp"])

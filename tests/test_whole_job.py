@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tabulon.operators import window as WN
 
 
@@ -22,3 +23,16 @@ def test_numbers_of_a_table_larger_than_the_range_sample(split):
     assert sorted(r["x"] for r in WN.in_range(df, 30_001, 30_010, "x").collect()) == list(range(30_000, 30_010))
     g = WN.group_id(df.withColumn("k", F.floor(F.col("x") / 2)), ["k"], "no")
     assert g.filter(F.coalesce(F.col("no"), F.lit(-1)) != F.col("k") + 1).count() == 0
+
+
+def test_reshape_of_all_orders_of_all_years(spark, sf):
+    q = entry.queries()
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    years = sorted(r[0] for r in orders.select(F.year("o_orderdate")).distinct().collect())
+    w = q["reshape_wide_customers"](spark, sf)
+    assert w.columns == ["o_custkey", *[f"{s}{y}" for y in years for s in ("price", "cnt")]]
+    cells = sum(F.coalesce(F.col(f"cnt{y}"), F.lit(0.0)) for y in years)
+    customers = orders.select("o_custkey").distinct().count()
+    assert w.count() == customers and w.agg(F.sum(cells)).first()[0] == orders.count()
+    long = q["reshape_long_customers"](spark, sf)
+    assert long.count() == customers * len(years) and long.agg(F.sum("cnt")).first()[0] == orders.count()
