@@ -65,8 +65,35 @@ def _key(by: list[str]) -> Column:
     return F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
 
 
-def order_stats(df: DataFrame, by: list[str], columns: list[str], ps: list[float]) -> DataFrame:
-    """(k, v, p0, p1, ...): exact percentiles by the linear rule of each column v in each group k.
+def _buckets(x: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From rows k, v, x: (k, v, x, c, b), the distinct values with counts and buckets, and (k, v, b, m, start, n), the buckets with rows in and before them."""
+    number = F.when(~F.isnan("x"), F.col("x"))  # NaN is above every cut
+    cuts = x.groupBy("k", "v").agg(F.percentile_approx(number, F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(1000)).alias("cuts"), F.count("*").alias("n"))
+    d = x.groupBy("k", "v", "x").agg(F.count("*").alias("c")).join(cuts, ["k", "v"])
+    d = d.select("k", "v", "x", "c", "n", F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda q: q < F.col("x")))).alias("b"))
+    w = W.partitionBy("k", "v").orderBy("b")  # at most BUCKETS rows a group
+    size = d.groupBy("k", "v", "n", "b").agg(F.sum("c").alias("m")).withColumn("start", F.sum("m").over(w) - F.col("m"))
+    return d, size
+
+
+def _place(p: float, rule: str) -> tuple[Column, Column, Column]:
+    """Ranks from 0 of the values below and above the p-quantile of n rows, and the share of the upper one."""
+    n = F.col("n")
+    if rule == "np1":
+        h = n.cast("double") * p + p  # position from 1
+        k = F.greatest(F.lit(1), F.least(F.floor(h), n))
+        return k - 1, F.least(k, n - 1), F.greatest(F.lit(0.0), F.least(F.lit(1.0), h - k))
+    h = F.lit(p) * (n - 1)
+    low = F.floor(h)
+    if rule == "nearest":
+        return low, low, F.lit(0.0)
+    if rule != "linear":
+        raise DataError(198, f"unknown percentile rule {rule}")
+    return low, F.least(low + 1, n - 1), h - low
+
+
+def order_stats(df: DataFrame, by: list[str], columns: list[str], ps: list[float], rule: str = "linear") -> DataFrame:
+    """(k, v, p0, p1, ...): exact percentiles by a rule (linear, nearest, np1) of each column v in each group k.
 
     No group is ever sorted, or hashed, in one task: repeated values are counted first, the
     distinct values of a group are cut into BUCKETS at approximate quantiles, and only the
@@ -74,26 +101,29 @@ def order_stats(df: DataFrame, by: list[str], columns: list[str], ps: list[float
     """
     pair = F.explode(F.array(*[F.struct(F.lit(c).alias("v"), F.col(c).cast("double").alias("x")) for c in columns]))
     x = df.select(_key(by).alias("k"), pair.alias("p")).select("k", "p.v", "p.x").filter("x is not null and not isnan(x)")
-    cuts = x.groupBy("k", "v").agg(F.percentile_approx("x", F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(1000)).alias("cuts"), F.count("*").alias("n"))
-    d = x.groupBy("k", "v", "x").agg(F.count("*").alias("c")).join(cuts, ["k", "v"])
-    d = d.select("k", "v", "x", "c", "n", F.size(F.filter("cuts", lambda q: q < F.col("x"))).alias("b"))
-    w = W.partitionBy("k", "v").orderBy("b")  # at most BUCKETS rows a group
-    size = d.groupBy("k", "v", "n", "b").agg(F.sum("c").alias("m")).withColumn("start", F.sum("m").over(w) - F.col("m"))
-    low = [F.floor(F.lit(p) * (F.col("n") - 1)) for p in ps]
-    high = [F.least(r + 1, F.col("n") - 1) for r in low]
+    d, size = _buckets(x)
+    low, high, share = zip(*[_place(p, rule) for p in ps], strict=True)
     wanted = F.exists(F.array(*low, *high), lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("m")))
     hit = d.join(size.filter(wanted).select("k", "v", "b", "start"), ["k", "v", "b"])
     hit = hit.withColumn("hi", F.col("start") + F.sum("c").over(W.partitionBy("k", "v", "b").orderBy("x"))).withColumn("lo", F.col("hi") - F.col("c"))
     at = lambda r: F.max(F.when((F.col("lo") <= r) & (F.col("hi") > r), F.col("x")))
-    value = [at(a) + (F.lit(p) * (F.max("n") - 1) - F.max(a)) * (at(b) - at(a)) for p, a, b in zip(ps, low, high, strict=True)]
+    value = [at(a) + F.max(s) * (at(b) - at(a)) for a, b, s in zip(low, high, share, strict=True)]
     return hit.groupBy("k", "v").agg(*[v.alias(f"p{i}") for i, v in enumerate(value)])
 
 
-def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, str]]) -> DataFrame:
+def ranks(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """(k, x, r): the rank of each distinct value x in each group k, the average of its ties, from the counts of the buckets below and of the values below in its own."""
+    d, size = _buckets(df.select(_key(by).alias("k"), F.lit(name).alias("v"), F.col(name).cast("double").alias("x")).filter("x is not null"))
+    d = d.join(size.select("k", "v", "b", "start"), ["k", "v", "b"])
+    hi = F.col("start") + F.sum("c").over(W.partitionBy("k", "v", "b").orderBy("x"))
+    return d.select("k", "x", (hi - F.col("c") + (F.col("c") + 1) / 2).alias("r"))
+
+
+def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, str]], rule: str = "linear") -> DataFrame:
     """(k, one column per name): ``wanted`` maps a name to (median, p1 to p99 or iqr, column)."""
     levels = lambda s: [0.25, 0.75] if s == "iqr" else [QUANTILES[s]]
     ps = sorted({p for s, _ in wanted.values() for p in levels(s)})
-    o = order_stats(df, by, sorted({c for _, c in wanted.values()}), ps)
+    o = order_stats(df, by, sorted({c for _, c in wanted.values()}), ps, rule)
     pick = lambda c, p: F.max(F.when(F.col("v") == c, F.col(f"p{ps.index(p)}")))
     cols = [(pick(c, 0.75) - pick(c, 0.25) if s == "iqr" else pick(c, QUANTILES[s])).alias(n) for n, (s, c) in wanted.items()]
     return o.groupBy("k").agg(*cols)
@@ -103,20 +133,20 @@ def is_quantile(stat: str) -> bool:
     return stat in QUANTILES or stat == "iqr"
 
 
-def collapse(df: DataFrame, stats: dict[str, tuple[str, str]], by: list[str] = (), weight: str | None = None, where: Column | None = None, order: Column | None = None) -> DataFrame:
-    """``stats``: new name to (statistic, column). A missing group key forms a group; without ``by`` one row."""
+def collapse(df: DataFrame, stats: dict[str, tuple[str, str]], by: list[str] = (), weight: str | None = None, where: Column | None = None, order: Column | None = None, rule: str = "linear") -> DataFrame:
+    """``stats``: new name to (statistic, column). A missing group key forms a group; without ``by`` one row. ``rule`` is that of percentiles."""
     if where is not None:
         df = df.filter(where)
     w = None
     if weight is not None:
         df = df.filter(F.col(weight) > 0)
         w = F.col(weight).cast("double")
-    ranks = {n: sc for n, sc in stats.items() if is_quantile(sc[0])}
-    cols = [statistic(s, F.col(c), w, order).alias(n) for n, (s, c) in stats.items() if n not in ranks]
-    if not ranks:
+    wanted = {n: sc for n, sc in stats.items() if is_quantile(sc[0])}
+    cols = [statistic(s, F.col(c), w, order).alias(n) for n, (s, c) in stats.items() if n not in wanted]
+    if not wanted:
         return df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
     base = df.groupBy(*by).agg(*(cols or [F.count("*").alias("__n")])) if by else df.agg(*(cols or [F.count("*").alias("__n")]))
-    out = base.withColumn("k", _key(by)).join(quantiles(df, by, ranks), "k", "left")
+    out = base.withColumn("k", _key(by)).join(quantiles(df, by, wanted, rule), "k", "left")
     return out.select(*by, *stats)
 
 
@@ -256,32 +286,18 @@ def histogram_bins(df: DataFrame, name: str, bins: int | None = None) -> DataFra
 
 
 def box_stats(df: DataFrame, name: str, over: list[str] = ()) -> DataFrame:
-    """Quartiles by the np1 rule, adjacent values and the number of outliers, per group.
+    """Quartiles by the np1 rule, adjacent values and the number of outliers, per group; NaN is missing.
 
-    Order statistics are counted, not collected: the distinct values of a group are ranked by
-    their cumulative counts.
+    The quartiles come from ``order_stats`` and are joined to the rows, the rest is one aggregate.
     """
-    x = df.select(*over, F.col(name).cast("double").alias("x")).filter("x is not null")
-    keys = list(over) or ["__all"]
-    x = x if over else x.withColumn("__all", F.lit(1))
-    d = x.groupBy(*keys, "x").agg(F.count("*").alias("c"))
-    w = W.partitionBy(*keys)
-    d = d.withColumn("hi", F.sum("c").over(w.orderBy("x"))).withColumn("n", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c"))
-
-    def quartile(p: float) -> Column:
-        h = F.col("n").cast("double") * p + p  # position p(n+1)
-        k = F.greatest(F.lit(1), F.least(F.floor(h), F.col("n")))
-        at = lambda pos: F.max(F.when((F.col("lo") < pos) & (F.col("hi") >= pos), F.col("x")))
-        frac = F.max(F.greatest(F.lit(0.0), F.least(F.lit(1.0), h - k)))
-        upper = F.least(k + 1, F.col("n"))
-        return at(k) + frac * (at(upper) - at(k))
-
-    q = d.groupBy(*keys).agg(quartile(0.25).alias("q1"), quartile(0.5).alias("median"), quartile(0.75).alias("q3"), F.max("n").alias("n"))
-    j = d.drop("n").join(q, keys)
+    over = list(over)
+    x = df.select(*over, F.col(name).cast("double").alias("x")).filter("x is not null and not isnan(x)")
+    q = order_stats(x, over, ["x"], [0.25, 0.5, 0.75], "np1").select("k", F.col("p0").alias("q1"), F.col("p1").alias("median"), F.col("p2").alias("q3"))
+    j = x.withColumn("k", _key(over)).join(q, "k")
     fence = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col("x").between(F.col("q1") - fence, F.col("q3") + fence)
-    out = j.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("n", "q1", "median", "q3")], F.min(F.when(inside, F.col("x"))).alias("lower_adjacent"), F.max(F.when(inside, F.col("x"))).alias("upper_adjacent"), F.coalesce(F.sum(F.when(~inside, F.col("c"))), F.lit(0)).alias("n_outside"))
-    return out if over else out.drop("__all")
+    out = j.groupBy("k").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("q1", "median", "q3")], F.min(F.when(inside, F.col("x"))).alias("lower_adjacent"), F.max(F.when(inside, F.col("x"))).alias("upper_adjacent"), F.count_if(~inside).alias("n_outside"))
+    return out.select(*[F.col("k")[c].alias(c) for c in over], *[c for c in out.columns if c != "k"])
 
 
 def where_true(df: DataFrame, p: Column) -> DataFrame:

@@ -106,7 +106,8 @@ def egen(stat: str, x: Column, by: list[str], where: Column | None = None, p: fl
     """A group statistic given to every selected row of the group.
 
     mean sum total count min max sd var median p50, pc (linear rule, p), p25 p75 iqr (nearest
-    rank), rank (average of ties).
+    rank), rank (average of ties). Of these p25, p75 and iqr sort the group for each of its rows,
+    so they are for small groups; ``egen_join`` and ``egen_rank`` are for any.
     """
     w = W.partitionBy(*by)
     x = x.cast("double")
@@ -134,19 +135,28 @@ def egen(stat: str, x: Column, by: list[str], where: Column | None = None, p: fl
     return out if where is None else F.when(truth(where), out)
 
 
-def egen_join(df: DataFrame, stats: dict[str, tuple[str, str]], by: list[str]) -> DataFrame:
+def egen_join(df: DataFrame, stats: dict[str, tuple[str, str]], by: list[str], rule: str = "linear") -> DataFrame:
     """Group statistics given to every row, as an aggregate joined back.
 
     ``egen`` is a window, which brings a whole group to one task; here a group that holds a
     third of all rows is aggregated on the map side and its rows are joined where adaptive
-    execution may split them. Names map to (statistic, column) as in ``collapse``.
+    execution may split them. Names map to (statistic, column) as in ``collapse``; ``rule`` is
+    that of percentiles, "nearest" for those of ``egen``.
     """
     from tabulon.operators.aggregate import collapse
 
-    g = collapse(df, stats, by).select(F.struct(*by).alias("__k"), *stats)
+    g = collapse(df, stats, by, rule=rule).select(F.struct(*by).alias("__k"), *stats)
     return df.withColumn("__k", F.struct(*by)).join(g, "__k", "left").drop("__k")
 
 
+def egen_rank(df: DataFrame, name: str, by: list[str], new: str) -> DataFrame:
+    """The rank in the group, the average of ties, without bringing a group to one task; missing where the value is."""
+    from tabulon.operators.aggregate import ranks
+
+    r = ranks(df, by, name).select(F.col("k").alias("__k"), F.col("x").alias("__x"), F.col("r").alias(new))
+    return df.withColumns({"__k": F.struct(*by), "__x": F.col(name).cast("double")}).join(r, ["__k", "__x"], "left").drop("__k", "__x")
+
+
 def tag(by: list[str], order: list[str]) -> Column:
     """1 in the first row of each group, else 0."""
     return (F.row_number().over(W.partitionBy(*by).orderBy(*ordering(*order))) == 1).cast("double")

@@ -185,22 +185,23 @@ def egen_stats(spark, d):
 
 @query("select event_id, round(avg(case when event_type <> 'error' then v end) over (partition by user_id), 6) as m, round(quantile_cont(v, 0.5) over (partition by user_id), 6) as med from " + GAPPY)
 def egen_window(spark, d):
-    """The window form, with a condition on the rows."""
+    """With a condition on the rows."""
     e = gappy(spark, d)
-    some = F.col("event_type") != "error"
-    mean = F.avg(F.when(some, F.col("v"))).over(WN.By("user_id").all)
-    return e.select("event_id", F.round(mean, 6).alias("m"), F.round(WN.egen("median", F.col("v"), ["user_id"]), 6).alias("med"))
+    e = e.withColumn("some", F.when(F.col("event_type") != "error", F.col("v")))
+    g = WN.egen_join(e, {"m": ("mean", "some"), "med": ("median", "v")}, ["user_id"])
+    return g.select("event_id", F.round("m", 6).alias("m"), F.round("med", 6).alias("med"))
 
 
 @query("select p_partkey, l[1 + (n - 1) // 4] as q1, l[1 + 3 * (n - 1) // 4] as q3, round(l[1 + 3 * (n - 1) // 4] - l[1 + (n - 1) // 4], 6) as iqr from (select p_partkey, list_sort(list(p_retailprice) over (partition by p_brand)) as l, count(*) over (partition by p_brand) as n from part)")
 def egen_nearest(spark, d):
-    x = F.col("p_retailprice")
-    return table(spark, d, "part").select("p_partkey", WN.egen("p25", x, ["p_brand"]).alias("q1"), WN.egen("p75", x, ["p_brand"]).alias("q3"), F.round(WN.egen("iqr", x, ["p_brand"]), 6).alias("iqr"))
+    x = "p_retailprice"
+    g = WN.egen_join(table(spark, d, "part"), {"q1": ("p25", x), "q3": ("p75", x), "iqr": ("iqr", x)}, ["p_brand"], rule="nearest")
+    return g.select("p_partkey", "q1", "q3", F.round("iqr", 6).alias("iqr"))
 
 
 @query("select p_partkey, rank() over (partition by p_brand order by p_size) + (count(*) over (partition by p_brand, p_size) - 1) / 2 as r from part")
 def egen_rank(spark, d):
-    return table(spark, d, "part").select("p_partkey", WN.egen("rank", F.col("p_size"), ["p_brand"]).alias("r"))
+    return WN.egen_rank(table(spark, d, "part"), "p_size", ["p_brand"], "r").select("p_partkey", "r")
 
 
 @query("select p_partkey, dense_rank() over (order by p_brand, p_type) as g from part")

@@ -1,9 +1,14 @@
 """Operators on tables large enough to be split, and over all their rows."""
 
+import bisect
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tabulon.operators import aggregate as A
 from tabulon.operators import window as WN
 
 
@@ -36,3 +41,46 @@ def test_reshape_of_all_orders_of_all_years(spark, sf):
     assert w.count() == customers and w.agg(F.sum(cells)).first()[0] == orders.count()
     long = q["reshape_long_customers"](spark, sf)
     assert long.count() == customers * len(years) and long.agg(F.sum("cnt")).first()[0] == orders.count()
+
+
+def test_rank_rules_against_python(split):
+    rnd = random.Random(3)
+    data = [(g, None if rnd.random() < 0.05 else float(round(rnd.expovariate(0.01), 1))) for g in ("a", "b", None) for _ in range(1500)] + [("one", 2.0), ("two", 1.0), ("two", 3.0), ("gone", None)]
+    df = split.createDataFrame([(i, g, x) for i, (g, x) in enumerate(data)], "id int, g string, x double").repartition(6)
+    groups = {}
+    for g, x in data:
+        groups.setdefault(g, []).extend([x] if x is not None else [])
+    for v in groups.values():
+        v.sort()
+    near = lambda v, p: v[int(p * (len(v) - 1))] if v else None
+    got = WN.egen_join(df, {"q1": ("p25", "x"), "q3": ("p75", "x"), "iqr": ("iqr", "x")}, ["g"], rule="nearest").collect()
+    assert len(got) == len(data)
+    for r in got:
+        v = groups[r["g"]]
+        assert (r["q1"], r["q3"], r["iqr"]) == (near(v, 0.25), near(v, 0.75), near(v, 0.75) - near(v, 0.25) if v else None)
+    got = WN.egen_rank(df, "x", ["g"], "r").collect()
+    assert len(got) == len(data)
+    for r in got:
+        v = groups[r["g"]]
+        assert r["r"] == (None if r["x"] is None else (bisect.bisect_left(v, r["x"]) + 1 + bisect.bisect_right(v, r["x"])) / 2)
+
+    def np1(v, p):
+        h = (len(v) + 1) * p
+        k = max(1, min(int(h), len(v)))
+        return v[k - 1] + max(0.0, min(1.0, h - k)) * (v[min(k, len(v) - 1)] - v[k - 1])
+
+    boxes = {r["g"]: r for r in A.box_stats(df, "x", ["g"]).collect()}
+    assert set(boxes) == {"a", "b", None, "one", "two"}
+    for g, b in boxes.items():
+        v, (q1, m, q3) = groups[g], (np1(groups[g], p) for p in (0.25, 0.5, 0.75))
+        inside = [x for x in v if q1 - 1.5 * (q3 - q1) <= x <= q3 + 1.5 * (q3 - q1)]
+        assert (b["n"], b["n_outside"], b["lower_adjacent"], b["upper_adjacent"]) == (len(v), len(v) - len(inside), inside[0], inside[-1])
+        assert (b["q1"], b["median"], b["q3"]) == pytest.approx((q1, m, q3))
+
+
+@pytest.mark.parametrize("name", ["box_stats", "egen_nearest", "egen_window", "egen_rank"])
+def test_no_window_holds_a_whole_group(spark, sf, name):
+    """Every window of the plan is over buckets or inside one."""
+    text = entry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in text.splitlines() if re.search(r"\bWindow \[", x)]
+    assert windows and all(re.search(r"\bb#\d+", x) for x in windows)
