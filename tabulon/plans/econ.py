@@ -365,6 +365,53 @@ def merge_update(spark, d):
     return MG.merge(one, b.select("c_custkey", "y"), "1:1", ["c_custkey"], keep=["master", "match"], replace=True, generate=None)
 
 
+_WHOLE = "select coalesce(o.o_custkey, c.k) as custkey, o.o_orderkey, c.c_mktsegment, case when o.o_orderkey is not null and c.k is not null then 3.0 when o.o_orderkey is not null then 1.0 else 2.0 end as _merge from orders o {} join (select case when c_custkey % 4 = 0 then -c_custkey else c_custkey end as k, c_mktsegment from customer) c on o.o_custkey = c.k"
+
+
+def _whole_sides(spark, d):
+    """Every order and every customer; a quarter of the customers get a key that no order has."""
+    key = F.when(F.col("c_custkey") % 4 == 0, -F.col("c_custkey")).otherwise(F.col("c_custkey"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderkey")
+    return o, table(spark, d, "customer").select(key.alias("custkey"), "c_mktsegment")
+
+
+@query(_WHOLE.format("full outer"))
+def merge_whole_m1_full(spark, d):
+    return MG.merge(*_whole_sides(spark, d), "m:1", ["custkey"])
+
+
+@query(_WHOLE.format("inner"))
+def merge_whole_keep_match(spark, d):
+    return MG.merge(*_whole_sides(spark, d), "m:1", ["custkey"], keep=["match"])
+
+
+@query(_WHOLE.format("left"))
+def merge_whole_keep_master_match(spark, d):
+    return MG.merge(*_whole_sides(spark, d), "m:1", ["custkey"], keep=["master", "match"])
+
+
+@query(_WHOLE.format("left") + " where c.k is null")
+def merge_whole_keep_master(spark, d):
+    return MG.merge(*_whole_sides(spark, d), "m:1", ["custkey"], keep=["master"])
+
+
+@query(_WHOLE.format("right"))
+def merge_whole_1m(spark, d):
+    o, c = _whole_sides(spark, d)
+    out = MG.merge(c, o, "1:m", ["custkey"], keep=["master", "match"])
+    return out.withColumn("_merge", F.when(F.col("_merge") == 1, 2.0).otherwise(F.col("_merge")))
+
+
+@query("select coalesce(a.k, b.k) as k, coalesce(a.x, b.x) as x, coalesce(b.y, a.y) as y from (select c_custkey as k, case when c_custkey % 3 <> 0 then c_acctbal end as x, c_acctbal as y from customer) a full outer join (select case when c_custkey % 2 = 0 then c_custkey else -c_custkey end as k, c_acctbal * 2 as x, case when c_custkey % 5 = 0 then 0.0 end as y from customer) b using (k)")
+def merge_whole_update(spark, d):
+    """Every customer on both sides, half of the second under keys of their own."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    a = c.select(k.alias("k"), F.when(k % 3 != 0, F.col("c_acctbal")).alias("x"), F.col("c_acctbal").alias("y"))
+    b = c.select(F.when(k % 2 == 0, k).otherwise(-k).alias("k"), (F.col("c_acctbal") * 2).alias("x"), F.when(k % 5 == 0, 0.0).alias("y"))
+    one = MG.merge(a, b.select("k", "x"), "1:1", ["k"], update=True, generate=None)
+    return MG.merge(one, b.select("k", "y"), "1:1", ["k"], replace=True, generate=None)
+
+
 @query("select o_orderkey, n_name, r_name from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
 def merge_chain(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))

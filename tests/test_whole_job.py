@@ -84,3 +84,15 @@ def test_no_window_holds_a_whole_group(spark, sf, name):
     text = entry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     windows = [x for x in text.splitlines() if re.search(r"\bWindow \[", x)]
     assert windows and all(re.search(r"\bb#\d+", x) for x in windows)
+
+
+def test_merges_of_every_order_and_customer(spark, sf):
+    q = entry.queries()
+    orders, customers = (spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("orders", "customer"))
+    full = q["merge_whole_m1_full"](spark, sf)
+    n = {r["_merge"]: r["count"] for r in full.groupBy("_merge").count().collect()}
+    assert set(n) == {1.0, 2.0, 3.0} and n[1.0] + n[3.0] == orders
+    assert full.filter("o_orderkey is null").count() + full.filter("_merge = 3").select("custkey").distinct().count() == customers
+    got = {k: q[f"merge_whole_{k}"](spark, sf).count() for k in ("keep_match", "keep_master_match", "keep_master", "1m")}
+    assert got == {"keep_match": n[3.0], "keep_master_match": orders, "keep_master": n[1.0], "1m": n[2.0] + n[3.0]}
+    assert q["merge_whole_update"](spark, sf).count() == customers + spark.read.parquet(f"{sf}/customer.parquet").filter("c_custkey % 2 = 1").count()
