@@ -21,6 +21,11 @@ def p1_table(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.consistent_table(table(spark, d, "weo_files"), table(spark, d, "weo_lines"))
 
 
+def p1_steps(spark: SparkSession, d: str) -> DataFrame:
+    """Every rename, cast and default that takes a file to the consistent table."""
+    return schema_drift.migration_steps(table(spark, d, "weo_files"), table(spark, d, "weo_lines"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return impute.found(table(spark, d, "panel"), table(spark, d, "regions"), table(spark, d, "grunfeld"))
 
@@ -81,7 +86,7 @@ def p6_panel(spark: SparkSession, d: str) -> DataFrame:
     return regrid.panel_grid(table(spark, d, "panel"), table(spark, d, "regions"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_table, p2_found, p2_panel, p2_grunfeld, p3_found, p3_fields, p3_valid, p4_found, p4_counts, p5_found, p5_wide, p6_found, p6_airline, p6_panel)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_table, p1_steps, p2_found, p2_panel, p2_grunfeld, p3_found, p3_fields, p3_valid, p4_found, p4_counts, p5_found, p5_wide, p6_found, p6_airline, p6_panel)}
 
 _K = r"nullif(upper(regexp_replace({0}, '^[ \t]+|[ \t]+$', '', 'g')), '')"
 _NUM = "coalesce({0} > 0 and {0} < 1e12, false)"

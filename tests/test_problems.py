@@ -50,6 +50,26 @@ def test_changes_of_files_without_data_lines(spark):
     assert {r["file_id"] for r in schema_drift.consistent_table(f, lines).collect()} == {1, 3}
 
 
+def test_renames_of_equal_columns_are_all_found(spark):
+    f, lines = drift(spark, ["SERIES_CODE,P,Q,R", "XAA.GD.A,1,1,5", "XAB.GD.A,2,2,6"], ["SERIES_CODE,X,Y,S", "XAA.GD.A,1,1,7", "XAB.GD.A,2,2,8"])
+    assert rows(schema_drift.found(f, lines)) == {(2, "X", "renamed"), (2, "Y", "renamed"), (2, "S", "added"), (2, "R", "removed")}
+
+
+def test_a_file_without_header_is_recorded_and_passed_over(spark):
+    f, lines = drift(spark, ["ISO,A", "XAA,1"], [None, "x,y"], ["ISO,B", "XAA,2"])
+    assert rows(schema_drift.found(f, lines)) == {(3, "B", "added"), (3, "A", "removed")}
+    reg = schema_drift.registry(schema_drift.Drift(f, lines))
+    assert rows(reg.select("file_id", "version_no", "step", "field_name")) == {(1, 1, "first", None), (2, None, "unreadable", None), (3, 2, "default", "B"), (3, 2, "drop", "A")}
+
+
+def test_migration_steps(spark):
+    f, lines = drift(spark, ["ISO,COUNTRY,UPDATED,2015", "XAA,Aa,2020-01-05,1"], ["ISO,Land,UPDATED,2015", "XAA,Aa,05/01/2020,1"])
+    got = rows(schema_drift.migration_steps(f, lines).filter("file_id = 2 and step <> 'default'").select("step", "field_name", "target", "rule"))
+    assert got == {("rename", "ISO", "iso", "text"), ("rename", "Land", "country", "text"), ("rename", "UPDATED", "updated", "date"), ("rename", "2015", "@2015", "number"), ("cast", "UPDATED", "updated", "date"), ("cast", "2015", "@2015", "number")}
+    lacks = {r["target"] for r in schema_drift.migration_steps(f, lines).filter("file_id = 2 and step = 'default'").collect()}
+    assert lacks == set(schema_drift.CANONICAL) - {"iso", "country", "updated"}
+
+
 # --- 2 -----------------------------------------------------------------------------
 
 PANEL = "row_id long, country string, year double, gdp double, pop double, currency string, loaded_at timestamp_ntz"
