@@ -133,7 +133,39 @@ u as (select * from a union all select * from b),
 g as (select tbl, src_key, p, lead(p) over (partition by tbl, src_key order by p) as nxt from u where src_key is not null)
 select tbl, src_key, case when tbl = 'airline' then cast(q // 12 * 100 + q % 12 + 1 as bigint) else q end as period from (select tbl, src_key, unnest(range(p + 1, nxt)) as q from g where nxt > p + 1)"""
 
+_D = {"\t": "\\t", ";": ";", "|": "|", ",": ","}
+_FREE = {d: rf'(?:"(?:[^"]|"")*"|[^"{x}\r\n]*)' for d, x in _D.items()}
+
+
+def _per_delimiter(form: str) -> str:
+    return "case d " + " ".join(f"when e'{x}' then " + form.format(cell=_FREE[d], d=x) for d, x in _D.items()) + " end"
+
+
+def _cell(name: str) -> str:
+    return f"cells[list_position(names, '{name}')]"
+
+
+_NUMERIC = r"^[+-]?((\d{1,3}(,\d{3})+|\d+)(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+_VALID = {
+    "country": f"{_cell('country')} not in ('NA', 'n/a') and regexp_matches({_cell('country')}, '\\p{{L}}') and not regexp_matches(replace(replace({_cell('country')}, e'\\n', ''), e'\\r', ''), '[\\p{{Cc}}\\x{{FFFD}}]')",
+    "year": f"regexp_matches({_cell('year')}, '^(19\\d\\d|20\\d\\d|2100)$')",
+    "firm": f"regexp_matches({_cell('firm')}, '^0*[1-9]\\d*$')",
+    **{c: f"({_cell(c)} in ('', '.', 'n/a', 'NA', '--', '-') or regexp_matches({_cell(c)}, '{_NUMERIC}'))" for c in ("gdp", "pop", "invest", "value", "capital")},
+}
+_REJECTED = f"""with h as (select file_id, regexp_replace(raw_line, '[\\x{{FEFF}}\\r\\n]', '', 'g') as h from raw_records where line_no = 1),
+s as (select *, case when contains(h, e'\\t') then e'\\t' when contains(h, ';') then ';' when contains(h, '|') then '|' else ',' end as d from h),
+k as (select *, list_sort(names) as sorted from (select file_id, d, list_transform(string_split(h, d), lambda x: trim(x, e' \\t"')) as names from s)),
+f as (select file_id, d, names, case when sorted = ['country', 'gdp', 'pop', 'year'] then 'panel' else 'grunfeld' end as kind from k where sorted in (['country', 'gdp', 'pop', 'year'], ['capital', 'firm', 'invest', 'value', 'year'])),
+r as (select r.file_id, r.line_no, f.d, f.names, f.kind, regexp_replace(coalesce(raw_line, ''), '\\r$', '') as l from raw_records r left join f using (file_id) where r.line_no > 1),
+c as (select *, {_per_delimiter("regexp_full_match(l, '{cell}(?:[{d}]{cell})*')")} as sound, {_per_delimiter("regexp_extract_all(e'{d}' || l, '[{d}]({cell})', 1)")} as raw from r),
+v as (select *, list_transform(raw, lambda x: trim(case when x[1] = '"' then replace(x[2:-2], '""', '"') else x end, e' \\t')) as cells from c),
+j as (select file_id, line_no, case when kind is null then 'column_count' when not sound then 'quoting' when len(cells) <> len(names) then 'column_count'
+ when kind = 'panel' and not ({" and ".join(_VALID[c] for c in ("country", "year", "gdp", "pop"))}) then 'bad_value'
+ when kind = 'grunfeld' and not ({" and ".join(_VALID[c] for c in ("firm", "year", "invest", "value", "capital"))}) then 'bad_value' end as reason from v)
+select file_id, line_no, reason from j where reason is not null"""
+
 ORACLE: dict[str, str] = {
+    "p3_found": _REJECTED,
     "p2_found": _marks(),
     "p4_found": f"select tbl, fld, row_id, kind from ({_ORPHANS})",
     "p4_counts": f"select tbl, fld, kind, strftime(ref_at, '%Y-%m') as period, count(*) as n_rows from ({_ORPHANS}) group by 1, 2, 3, 4",
