@@ -1,11 +1,12 @@
 """Attribute-value rows into wide tables (problem 5).
 
 Every (entity, attribute) cell is a slot register. Registers are combined with RDD
-``combineByKey``: the combiner is associative (latest load wins, then the smallest id), so
-duplicates and revisions are resolved on the map side before anything is shuffled. The keys
-of the combine are hash buckets of entities and the registers of a bucket are one Arrow
-table, so that the merge is columnar; a hot attribute or iso is spread over the buckets by
-its (vintage, year) entities. Typed encoders then emit one full row per entity.
+``combineByKey``, whose keys are the entities (vintage, iso, year) and whose combiners are an
+entity's registers, slot by slot: the merge is associative (latest load wins, then the
+smallest id), so duplicates and revisions are resolved on the map side before anything is
+shuffled, and an entity never holds more than one register per attribute. A hot iso is spread
+over its (vintage, year) entities. Spark's combiner spills to disk. Codes, forms and missing
+markers are judged by Catalyst before; typed encoders then emit one full row per entity.
 
 Defined results: rows without vintage, iso, year or attribute fill no cell; a missing
 loaded_at is older than any other; rows sent twice resolve to the smallest id; an entity all
@@ -14,10 +15,8 @@ of whose cells are empty still gets a row; an empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import datetime as dt
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +26,11 @@ TYPES = {"EST_AFTER": "int", "REV_DATE": "date", "BASE_NOTE": "string", "METHOD"
 NUMBER = r"^[+-]?((\d{1,3}(,\d{3})+|\d+)(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 DATE = r"^\d{4}-\d{2}-\d{2}$"
 
-#: Rows that one bucket of registers is meant to hold, and the most attributes a wide table may have.
-BUCKET_ROWS = 200_000
+#: Rows meant for one partition of the combine, and the most attributes a wide table may have.
+PARTITION_ROWS = 500_000
 MAX_CODES = 5_000
-
-KEY = ["vintage", "iso", "yr", "slot"]
-ORDER = [(k, "ascending") for k in KEY] + [("t", "descending"), ("obs_id", "ascending")]
+#: Load time of a row without one.
+OLDEST = -(1 << 63)
 
 
 def observations(obs: DataFrame, types: dict[str, str] = TYPES) -> DataFrame:
@@ -52,132 +50,87 @@ def observations(obs: DataFrame, types: dict[str, str] = TYPES) -> DataFrame:
     return x.withColumn("v", F.when(~F.upper("v").isin(MISSING), form))
 
 
-def resolve(t: pa.Table) -> pa.Table:
-    """One row per register: the first of each (entity, slot) in ORDER."""
-    if t.num_rows < 2:
-        return t
-    t = t.take(pc.sort_indices(t, sort_keys=ORDER, null_placement="at_end")).combine_chunks()
-    first = None
-    for k in KEY:
-        c = t[k].chunk(0)
-        differs = pc.not_equal(c[1:], c[:-1])
-        first = differs if first is None else pc.or_(first, differs)
-    return t.filter(pa.concat_arrays([pa.array([True]), first]))
-
-
-class Registers:
-    """The slot registers of one bucket; merging is associative, and what is pickled is always resolved."""
-
-    def __init__(self, table: pa.Table):
-        self.done, self.open, self.rows = table, [], 0
-
-    def add(self, table: pa.Table) -> Registers:
-        self.open.append(table)
-        self.rows += table.num_rows
-        if self.rows > max(50_000, self.done.num_rows):
-            self.table()
-        return self
-
-    def table(self) -> pa.Table:
-        self.done = resolve(pa.concat_tables([self.done, *self.open]))
-        self.open, self.rows = [], 0
-        return self.done
-
-    def __reduce__(self):
-        return from_block, (to_block(self.table()),)
-
-
-def to_block(t: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_table(t)
-    return sink.getvalue().to_pybytes()
-
-
-def from_block(b: bytes) -> Registers:
-    return Registers(pa.ipc.open_stream(b).read_all())
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map side: resolves the partition's registers and hands them on as one block per bucket."""
-    acc = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        acc = Registers(t) if acc is None else acc.add(t)
-    if acc is None:
-        return
-    t = acc.table()
-    t = t.take(pc.sort_indices(t, sort_keys=[("bucket", "ascending")]))
-    runs = pc.run_end_encode(t["bucket"].combine_chunks())
-    start, ids, blocks = 0, [], []
-    for end, bucket in zip(runs.run_ends.to_pylist(), runs.values.to_pylist(), strict=True):
-        ids.append(bucket)
-        blocks.append(to_block(t.slice(start, end - start).drop_columns(["bucket"])))
-        start = end
-    for i in range(0, len(ids), 16):
-        yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 16], pa.int32()), pa.array(blocks[i : i + 16], pa.binary())], ["bucket", "block"])
-
-
-def _encode(t: pa.Table, codes: list[str], kinds: list[str]) -> pa.RecordBatch:
-    """Typed encoders: registers of one bucket to full rows, entity by entity."""
-    import numpy as np
-
-    t = t.combine_chunks()
-    col = {c: t[c].chunk(0) if t.num_rows else t[c].combine_chunks() for c in t.column_names}
-    new = np.ones(t.num_rows, bool)
-    if t.num_rows > 1:
-        same = [np.asarray(pc.equal(col[k][1:], col[k][:-1])) for k in KEY[:3]]
-        new[1:] = ~np.logical_and.reduce(same)
-    entity, first = np.cumsum(new) - 1, np.flatnonzero(new)
-    n = len(first)
-    slot = col["slot"].to_numpy(zero_copy_only=False)
-    filled = np.asarray(col["v"].is_valid())
-    out = [col[k].take(pa.array(first)) for k in KEY[:3]]
-    by_slot = np.argsort(slot, kind="stable")
-    edges = np.searchsorted(slot[by_slot], np.arange(len(codes) + 1))
-    for s, kind in enumerate(kinds):
-        at = by_slot[edges[s] : edges[s + 1]]
-        place = np.full(n, -1, np.int64)
-        place[entity[at]] = at
-        values = col["v"].take(pa.array(place, mask=place < 0))
-        to = {"double": pa.float64(), "int": pa.int32(), "date": pa.date32(), "string": pa.string()}[kind]
-        out.append(values.cast(to) if kind != "date" else pc.strptime(values, "%Y-%m-%d", "s", error_is_null=True).cast(to))
-    ids = np.full((n, len(codes)), -1, np.int64)
-    ids[entity[filled], slot[filled]] = col["obs_id"].to_numpy(zero_copy_only=False)[filled]
-    flat = ids.reshape(-1)
-    out.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(codes), pa.int32()), pa.array(flat, mask=flat < 0)))
-    return pa.RecordBatch.from_arrays(out, [*KEY[:3], *codes, "obs_ids"])
+Cell = tuple[int, int, str | None]
+
+
+def register(slot: int, t: int | None, obs_id: int, v: str | None) -> dict[int, Cell]:
+    """createCombiner: the registers of an entity that has one row."""
+    return {slot: (OLDEST if t is None else t, -obs_id, v)}
+
+
+def put(registers: dict[int, Cell], row: tuple) -> dict[int, Cell]:
+    """mergeValue: one more row of the entity; the latest load wins, then the smallest id, then the smaller value."""
+    slot, t, obs_id, v = row
+    new = (OLDEST if t is None else t, -obs_id, v)
+    old = registers.get(slot)
+    if old is None or beats(new, old):
+        registers[slot] = new
+    return registers
+
+
+def beats(new: Cell, old: Cell) -> bool:
+    if new[0] != old[0]:
+        return new[0] > old[0]
+    if new[1] != old[1]:
+        return new[1] > old[1]
+    return new[2] is not None and (old[2] is None or new[2] < old[2])
+
+
+def merge(a: dict[int, Cell], b: dict[int, Cell]) -> dict[int, Cell]:
+    """mergeCombiners: registers of the same entity from two partitions; associative and commutative."""
+    for slot, new in b.items():
+        old = a.get(slot)
+        if old is None or beats(new, old):
+            a[slot] = new
+    return a
+
+
+def registers(x: DataFrame, slots: dict[str, int], partitions: int):
+    """RDD of ((vintage, iso, yr), {slot: (time, -id, value)}) from ``observations``."""
+    slot = F.create_map(*[F.lit(v) for kv in slots.items() for v in kv])
+    rows = x.select("vintage", "iso", "yr", slot[F.col("code")].alias("slot"), "t", "obs_id", "v").rdd
+    pairs = rows.map(lambda r: ((r[0], r[1], r[2]), (r[3], r[4], r[5], r[6])))
+    return pairs.combineByKey(lambda row: register(*row), put, merge, numPartitions=partitions)
+
+
+ENCODERS = {"double": float, "int": int, "date": dt.date.fromisoformat, "string": str}
+
+
+def encoder(kinds: list[str]):
+    """Typed encoder: one entity's registers to its full row, empty cells null, and the ids that supply the cells."""
+    read = [ENCODERS[k] for k in kinds]
+
+    def row(kv: tuple) -> tuple:
+        key, held = kv
+        values, ids = [None] * len(read), [None] * len(read)
+        for slot, (_, minus_id, v) in held.items():
+            if v is not None:
+                values[slot], ids[slot] = read[slot](v), -minus_id
+        return (*key, *values, ids)
+
+    return row
+
+
+def codes_of(x: DataFrame) -> tuple[list[str], int]:
+    """(the attribute codes, rows). They become columns, so their number is bounded by what a table can have."""
+    known = x.groupBy("code").count().limit(MAX_CODES + 1).collect()
+    if len(known) > MAX_CODES:
+        raise ValueError(f"more than {MAX_CODES} attribute codes; use found(), which has a row per cell")
+    return sorted(r["code"] for r in known), sum(r["count"] for r in known)
 
 
 def wide(obs: DataFrame, types: dict[str, str] = TYPES) -> tuple[DataFrame, list[str]]:
     """(one row per vintage, iso and yr with a typed column per code and ``obs_ids``, the ids that supply each cell in the order of the codes; the codes)."""
     spark = obs.sparkSession
     x = observations(obs, types)
-    # the codes become columns, so their number is bounded by what a table can have; it is checked
-    known = x.groupBy("code").count().limit(MAX_CODES + 1).collect()
-    if len(known) > MAX_CODES:
-        raise ValueError(f"more than {MAX_CODES} attribute codes")
-    codes = sorted(r["code"] for r in known)
+    codes, n = codes_of(x)
     kinds = [types.get(c, "double") for c in codes]
     schema = ", ".join(["vintage int", "iso string", "yr int", *(f"`{c}` {k}" for c, k in zip(codes, kinds, strict=True)), "obs_ids array<bigint>"])
     if not codes:
         return spark.createDataFrame([], schema), codes
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(partitions, sum(r["count"] for r in known) // BUCKET_ROWS + 1)
-    slot = F.create_map(*[F.lit(v) for i, c in enumerate(codes) for v in (c, i)])
-    x = x.select(F.pmod(F.xxhash64("vintage", "iso", "yr"), F.lit(buckets)).cast("int").alias("bucket"), F.col("vintage").cast("int").alias("vintage"), "iso", F.col("yr").cast("int").alias("yr"), slot[F.col("code")].alias("slot"), "t", "obs_id", "v")
-    blocks = x.mapInArrow(_blocks, "bucket int, block binary").rdd.map(lambda r: (r[0], bytes(r[1])))
-    registers = blocks.combineByKey(from_block, lambda acc, b: acc.add(from_block(b).done), lambda a, b: a.add(b.table()), numPartitions=min(buckets, max(partitions, buckets)))
-    packed = spark.createDataFrame(registers.map(lambda kv: (to_block(kv[1].table()),)), "block binary")
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block in b.column(0):
-                rows = _encode(from_block(block.as_py()).done, codes, kinds)
-                for i in range(0, rows.num_rows, 10_000):
-                    yield rows.slice(i, 10_000)
-
-    return packed.mapInArrow(emit, schema), codes
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // PARTITION_ROWS + 1)
+    r = registers(x, {c: i for i, c in enumerate(codes)}, partitions)
+    return spark.createDataFrame(r.map(encoder(kinds)), schema, verifySchema=False), codes
 
 
 def found(obs: DataFrame, types: dict[str, str] = TYPES) -> DataFrame:
