@@ -10,8 +10,8 @@ holds a third of all rows is thus split over its periods, and the window over a
 at most one row per period between years 1 and 9999.
 
 Defined results: rows without source or period give nothing; a value that is null or NaN
-counts as a reading but has no level; readings at the same instant apply in order of their
-tie column; a source with one period gives one row.
+counts as a reading, has no level and ends the one before it; of readings at the same instant
+the last by the tie column stands; a source with one period gives one row.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def step_grid(readings: DataFrame, hold: float = 1.0) -> DataFrame:
     at = F.struct("frac", "tie")
     cell = r.groupBy("source", "period").agg(
         F.count("*").alias("n"), F.sum(level).alias("area"), F.sum(width).alias("width"), F.min("frac").alias("first_at"), F.max("frac").alias("last_at"),
-        F.max_by("value", F.when(F.col("value").isNotNull(), at)).alias("last_value"), F.avg("value").alias("mean"),
+        F.max_by("value", at).alias("last_value"), F.avg("value").alias("mean"),
     )
     s = W.partitionBy("source").orderBy("period")
     cell = cell.withColumn("next", F.lead("period").over(s)).withColumn("prev", F.lag("period").over(s)).withColumn("prev_at", F.lag("last_at").over(s)).withColumn("prev_value", F.lag("last_value").over(s))
@@ -67,8 +67,11 @@ def airline_grid(airline: DataFrame) -> DataFrame:
     ok = (F.col("passengers") > 0) & ~F.isnan("passengers")
     a = airline.filter(ok).select(code("carrier").alias("source"), whole("year", 1, 9999).alias("y"), whole("month", 1, 12).alias("m"), F.col("passengers").alias("value"), "read_at", F.col("row_id").alias("tie"))
     a = a.withColumn("period", F.col("y") * 12 + F.col("m") - 1)
-    day = F.months_between(F.col("read_at").cast("timestamp"), F.make_date(F.col("y").cast("int"), F.col("m").cast("int"), F.lit(1)))
-    a = a.withColumn("frac", F.greatest(F.lit(0.0), F.least(F.lit(0.999), F.coalesce(day, F.lit(0.0))))).select("source", "period", "frac", "tie", "value")
+    start = F.make_timestamp_ntz(F.col("y").cast("int"), F.col("m").cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)"))
+    days = F.date_diff(F.add_months(start.cast("date"), 1), start.cast("date"))
+    at = F.unix_micros(F.col("read_at").cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(0.999), F.coalesce(at / (days * 86_400_000_000.0), F.lit(0.0))))
+    a = a.withColumn("frac", inside).select("source", "period", "frac", "tie", "value")
     g = step_grid(a)
     return g.withColumn("period", F.floor(F.col("period") / 12) * 100 + F.col("period") % 12 + 1)
 

@@ -78,12 +78,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return air.unionByName(pan).filter("is_filled").select("tbl", F.col("source").alias("src_key"), "period")
 
 
+def _rounded(grid: DataFrame) -> DataFrame:
+    return grid.withColumn("value", F.round("value", 4)).withColumn("coverage", F.round("coverage", 6))
+
+
 def p6_airline(spark: SparkSession, d: str) -> DataFrame:
-    return regrid.airline_grid(table(spark, d, "airline"))
+    return _rounded(regrid.airline_grid(table(spark, d, "airline")))
 
 
 def p6_panel(spark: SparkSession, d: str) -> DataFrame:
-    return regrid.panel_grid(table(spark, d, "panel"), table(spark, d, "regions"))
+    return _rounded(regrid.panel_grid(table(spark, d, "panel"), table(spark, d, "regions")))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_table, p1_steps, p2_found, p2_panel, p2_grunfeld, p3_found, p3_fields, p3_valid, p4_found, p4_counts, p5_found, p5_wide, p6_found, p6_airline, p6_panel)}
@@ -164,7 +168,27 @@ j as (select file_id, line_no, case when kind is null then 'column_count' when n
  when kind = 'grunfeld' and not ({" and ".join(_VALID[c] for c in ("firm", "year", "invest", "value", "capital"))}) then 'bad_value' end as reason from v)
 select file_id, line_no, reason from j where reason is not null"""
 
+# Step functions by brute force: every pair of a reading and the next one of its source, cut by the grid cells it reaches.
+_STEPS = """, l as (select *, lead(p + frac) over w as nxt from r window w as (partition by source order by p, frac, tie)),
+iv as (select source, value, p + frac as a, least(coalesce(nxt, p + frac + 1), p + frac + 1) as b from l),
+span as (select source, min(p) as lo, max(p) as hi from r group by 1),
+g as (select source, unnest(range(lo, hi + 1)) as q from span),
+cells as (select g.source, g.q, sum(least(b, q + 1) - greatest(a, q)) as cov, sum(value * (least(b, q + 1) - greatest(a, q))) as area, count(*) as pieces from g join iv on iv.source = g.source and iv.value is not null and iv.b > g.q and iv.a < g.q + 1 group by 1, 2),
+own as (select source, p, count(*) as n, avg(value) as mean, last(value order by frac, tie) as held from r group by 1, 2)
+select g.source as source, {period} as period, coalesce(own.n, 0) as n_readings, round(case when own.n is null then before.held else coalesce(case when cov > 0 then area / cov end, own.mean) end, 4) as value, round(coalesce(cov, 0), 6) as coverage, own.n is null as is_filled
+from g left join cells using (source, q) left join own on own.source = g.source and own.p = g.q asof left join own before on before.source = g.source and before.p <= g.q"""
+
+_AIRLINE = f"""with r as (select source, p, value, tie, greatest(0.0, least(0.999, coalesce((epoch_us(read_at) - epoch_us(make_timestamp(y, m, 1, 0, 0, 0.0))) / (86400000000.0 * date_diff('day', make_date(y, m, 1), make_date(y, m, 1) + interval 1 month)), 0.0))) as frac
+ from (select {_k('carrier')} as source, cast(year as bigint) * 12 + cast(month as bigint) - 1 as p, cast(year as bigint) as y, cast(month as bigint) as m, passengers as value, row_id as tie, read_at from airline
+ where passengers > 0 and not isnan(passengers) and month = floor(month) and month between 1 and 12 and year = floor(year) and not isnan(year) and year between 1 and 9999) where source is not null)""" + _STEPS.format(period="cast(g.q // 12 * 100 + g.q % 12 + 1 as bigint)")
+
+_TERRITORIES = f"""with known as (select distinct {_k('country')} as k from regions),
+r as (select {_k('country')} as source, cast(year as bigint) as p, 0.0 as frac, row(loaded_at, row_id) as tie, case when gdp > 0 and gdp < 1e12 then gdp end as value from panel
+ where year = floor(year) and not isnan(year) and year between 1 and 9999 and {_k('country')} in (select k from known where k is not null))""" + _STEPS.format(period="g.q")
+
 ORACLE: dict[str, str] = {
+    "p6_airline": _AIRLINE,
+    "p6_panel": _TERRITORIES,
     "p3_found": _REJECTED,
     "p2_found": _marks(),
     "p4_found": f"select tbl, fld, row_id, kind from ({_ORPHANS})",

@@ -169,6 +169,12 @@ def test_wide_against_brute_force(spark, seed):
 # --- 6 -----------------------------------------------------------------------------
 
 
+def test_a_null_reading_ends_the_one_before(spark):
+    r = spark.createDataFrame([("a", 0, 0.0, 1, 10.0), ("a", 0, 0.9, 2, None), ("a", 3, 0.5, 3, 2.0)], "source string, period long, frac double, tie long, value double")
+    got = {x["period"]: (x["value"], round(x["coverage"], 6)) for x in regrid.step_grid(r).collect()}
+    assert got == {0: (10.0, 0.9), 1: (None, 0.0), 2: (None, 0.0), 3: (2.0, 0.5)}
+
+
 def test_grid(spark):
     at = lambda y, m, d: dt.datetime(y, m, d)
     a = [(1, "aa", 2000.0, 11.0, 10.0, at(2000, 11, 16)), (2, " AA", 2001.0, 2.0, 20.0, at(2001, 2, 1)), (3, "AA", 2001.0, 2.0, 40.0, at(2001, 2, 15)), (4, "AA", 2001.0, 13.0, 5.0, at(2001, 2, 1)), (5, "AA", 2005.0, 1.0, float("nan"), at(2005, 1, 1)), (6, "AA", 2005.0, 1.0, -9.0, at(2005, 1, 1)), (7, None, 2000.0, 1.0, 1.0, None), (8, "BB", 2000.0, 1.0, 1.0, None), (9, "BB", 2000.0, 1.5, 1.0, None)]
