@@ -109,6 +109,29 @@ def test_fill_beats_the_mean(spark):
     assert set(out) == set(truth) and mixed < 0.5 * plain
 
 
+def test_categories_follow_group_and_time(spark):
+    random.seed(2)
+    rs, truth = [], {}
+    for g in range(40):
+        old, new = f"O{chr(65 + g % 26)}{chr(65 + g // 26)}", "EUR"
+        for t in range(20):  # most groups change to EUR about year 10
+            c = new if t >= 10 + (g % 3 - 1) and g % 5 else old
+            hide = random.random() < 0.2
+            if hide:
+                truth[g * 20 + t] = c
+            rs.append((g * 20 + t, f"G{g}", 2000.0 + t, 1.0, 1.0, None if hide else c, T0))
+    r = spark.createDataFrame([(g, f"G{g}", "r", "", T0, None) for g in range(40)], REGIONS)
+    out = {x["row_id"]: x["currency_filled"] for x in impute.fill_panel(spark.createDataFrame(rs, PANEL), r).filter("currency_mask = 'group'").collect()}
+    assert set(out) == set(truth) and sum(out[i] == c for i, c in truth.items()) > 0.85 * len(truth)
+
+
+def test_ties_between_categories_go_to_the_first(spark):
+    p = [(1, "AA", 2000.0, 1.0, 1.0, "ZZZ", T0), (2, "AA", 2000.0, 1.0, 1.0, "AAA", T0), (3, "AA", 2000.0, 1.0, 1.0, None, T0), (4, "BB", 2000.0, 1.0, 1.0, "", T0), (5, None, 2000.0, 1.0, 1.0, "", T0)]
+    r = spark.createDataFrame([(1, "AA", "r", "", T0, None), (2, "BB", "r", "", T0, None)], REGIONS)
+    out = {x["row_id"]: (x["currency_filled"], x["currency_mask"]) for x in impute.fill_panel(spark.createDataFrame(p, PANEL), r).collect()}
+    assert out[3] == ("AAA", "group") and out[4] == ("AAA", "time") and out[5] == ("AAA", "time") and out[1] == ("ZZZ", None)
+
+
 # --- 3 -----------------------------------------------------------------------------
 
 
