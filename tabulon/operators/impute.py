@@ -8,8 +8,7 @@ both effects random. The variance components come from the one-way analysis of v
 group and by time (method of moments); each effect is its best linear unbiased predictor, a
 mean shrunk by n / (n + s2_error / s2_effect), and the two are fitted together until the time
 effects stand still. Categories get a multinomial logit with a group and a time effect on the
-log odds, fitted to the count tables by proportional fitting, both margins shrunk towards the
-overall shares. Every filled cell carries a mask: ``group`` where the group has the field in
+log odds, fitted to the count tables by turns, both effects shrunk towards none. Every filled cell carries a mask: ``group`` where the group has the field in
 another row, ``time`` where only the period has it.
 
 All sums are taken per (group, time) first and held as one array per group, so a group with a
@@ -37,7 +36,7 @@ from tabulon.session import code, cut
 
 #: Periods are the whole numbers from 1 to this.
 LAST_PERIOD = 9_999
-#: Weight, in rows, of the overall shares against a group's or a period's own counts.
+#: Weight, in rows, of no effect against a group's or a period's own counts.
 PRIOR_ROWS = 1.0
 #: Rounds of the numeric fit at most, the change of a time effect (on the log scale) at which it ends, and rounds of the multinomial fit.
 MAX_ROUNDS, STILL, FIT_ROUNDS = 20, 1e-4, 3
@@ -148,44 +147,40 @@ def best_categories(df: DataFrame, c: str) -> DataFrame:
     """(g, t, fill, mask): the most likely category for every (group, period) of g, t, c that misses one.
 
     A group's candidates are the categories it has; a group that has one needs no model. For
-    the others ln odds = ln share + a(g, c) + b(t, c) is fitted by turns: an effect moves by the
-    log of its observed over its expected count, both with PRIOR_ROWS rows of the overall shares.
+    the others ln odds = ln share + a(g, c) + b(t, c) is fitted by turns: an effect is the log of
+    its observed count over the count expected without it, both with PRIOR_ROWS rows added,
+    so an effect of which little is known stays near 0.
     """
     have = cut(df.filter(is_category(c)).groupBy("g", "t", F.col(c).alias("c")).agg(F.count("*").alias("n")))
     total = have.agg(F.sum("n")).first()[0] or 1
-    share = have.groupBy("c").agg((PRIOR_ROWS * F.sum("n") / total).alias("prior"))
+    share = have.groupBy("c").agg((F.sum("n") / total).alias("share"))
+    w = W.partitionBy("g")  # over a row per group and category
     in_group = have.filter("g is not null").groupBy("g", "c").agg(F.sum("n").alias("n_g"))
-    in_group = cut(in_group.withColumn("k", F.count("*").over(W.partitionBy("g"))).join(share, "c"))  # a row per group and category
-    in_time = have.filter("t is not null").groupBy("t", "c").agg(F.sum("n").alias("n_t")).join(share, "c")
-    odds = F.ln((F.col("n_t") + F.col("prior")) / F.col("prior"))
-    b = in_time.select("t", "c", "n_t", "prior", (odds - F.ln(F.sum("n_t").over(W.partitionBy("t")) + PRIOR_ROWS)).alias("b"))
-    b = cut(b)
-    several = in_group.filter("k > 1")
-    unseen = -F.ln(F.lit(1.0 + PRIOR_ROWS))  # b of a category that the period lacks
-    fit = several.withColumn("a", F.ln((F.col("n_g") + F.col("prior")) / F.col("prior")))
-    if not several.isEmpty():
+    in_group = cut(in_group.withColumn("k", F.count("*").over(w)).withColumn("all_g", F.sum("n_g").over(w)).join(share, "c"))
+    shrunk = lambda seen, expected: F.ln((seen + PRIOR_ROWS) / (expected + PRIOR_ROWS))
+    fit = in_group.filter("k > 1").withColumn("a", shrunk(F.col("n_g"), F.col("share") * F.col("all_g"))).select("g", "c", "n_g", "share", "a")
+    b = have.select("t", "c", F.lit(0.0).alias("b")).limit(0)
+    if not fit.isEmpty():
         rows = have.filter("g is not null").groupBy("g", "t").agg(F.sum("n").alias("m"))
-        x = cut(rows.join(fit, "g"))
+        seen = have.select(F.col("g").alias("g3"), F.col("t").alias("t3"), F.col("c").alias("c3"), "n")
+        x = rows.join(fit, "g")
+        x = x.join(seen, (x["g"] == F.col("g3")) & x["t"].eqNullSafe(F.col("t3")) & (x["c"] == F.col("c3")), "left").drop("g3", "t3", "c3").fillna(0, ["n"])
+        x = cut(x)
+        expected = lambda y: y.withColumn("e", F.exp(F.ln("share") + F.col("a") + F.coalesce("b", F.lit(0.0)))).withColumn("e", F.col("m") * F.col("e") / F.sum("e").over(W.partitionBy("g", "t")))
         for _ in range(FIT_ROUNDS):
-            y = x.join(b.select("t", "c", "b"), ["t", "c"], "left")
-            y = y.withColumn("e", F.exp(F.ln("prior") + F.col("a") + F.when(F.col("t").isNull(), 0.0).otherwise(F.coalesce("b", unseen))))
-            y = y.withColumn("e", F.col("m") * F.col("e") / F.sum("e").over(W.partitionBy("g", "t")))
-            expected = F.sum("e").over(W.partitionBy("g", "c"))
-            y = y.withColumn("a", F.col("a") + F.ln((F.col("n_g") + F.col("prior")) / (expected + F.col("prior"))))
-            x = cut(y.select("g", "t", "m", "c", "n_g", "prior", "a", "e"))
-            # groups of one category expect what they have, so only the others' difference moves b
-            moved = x.join(have.select("g", "t", "c", "n"), ["g", "t", "c"], "left").filter("t is not null").groupBy("t", "c").agg((F.sum("e") - F.sum(F.coalesce("n", F.lit(0)))).alias("more"))
-            step = F.ln((F.col("n_t") + F.col("prior")) / (F.greatest(F.col("n_t") + F.coalesce("more", F.lit(0.0)), F.lit(0.0)) + F.col("prior")))
-            b = cut(b.join(moved, ["t", "c"], "left").withColumn("b", F.col("b") + step).drop("more"))
-            x = x.drop("e")
-        fit = x.groupBy("g", "c").agg(F.max("n_g").alias("n_g"), F.max("prior").alias("prior"), F.max("a").alias("a"))
+            y = expected(x.join(b, ["t", "c"], "left")).filter("t is not null")
+            b = cut(y.groupBy("t", "c").agg(shrunk(F.sum("n"), F.sum(F.col("e") / F.exp(F.coalesce("b", F.lit(0.0))))).alias("b")))
+            y = expected(x.join(b, ["t", "c"], "left"))
+            y = y.withColumn("a", shrunk(F.col("n_g"), F.sum("e").over(W.partitionBy("g", "c")) / F.exp("a")))
+            x = cut(y.select("g", "t", "m", "c", "n", "n_g", "share", "a"))
+        fit = x.groupBy("g", "c").agg(*[F.max(k).alias(k) for k in ("n_g", "share", "a")])
     need = df.filter(~is_category(c)).select("g", "t").distinct()
     one = need.join(in_group.filter("k = 1").select("g", F.col("c").alias("fill")), "g").select("g", "t", "fill")
-    cand = need.join(fit.select("g", "c", "n_g", "prior", "a"), "g").join(b.select("t", "c", "b"), ["t", "c"], "left")
-    score = F.ln("prior") + F.col("a") + F.when(F.col("t").isNull(), 0.0).otherwise(F.coalesce("b", unseen))
-    first = F.struct((-F.round(score, 9)).alias("s"), (-F.col("n_g")).alias("n"), "c")
-    many = cand.groupBy("g", "t").agg(F.min_by("c", first).alias("fill"))
+    cand = need.join(fit, "g").join(b, ["t", "c"], "left")
+    score = F.ln("share") + F.col("a") + F.coalesce("b", F.lit(0.0))
+    many = cand.groupBy("g", "t").agg(F.min_by("c", F.struct((-F.round(score, 9)).alias("s"), (-F.col("n_g")).alias("n"), "c")).alias("fill"))
     alone = need.join(in_group.select("g").distinct(), "g", "left_anti").filter("t is not null")
+    in_time = have.filter("t is not null").groupBy("t", "c").agg(F.sum("n").alias("n_t"))
     top = in_time.groupBy("t").agg(F.min_by("c", F.struct((-F.col("n_t")).alias("n"), "c")).alias("fill"))
     by_time = alone.join(top, "t").select("g", "t", "fill")
     return one.unionByName(many).withColumn("mask", F.lit("group")).unionByName(by_time.withColumn("mask", F.lit("time")))
