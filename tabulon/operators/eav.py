@@ -35,62 +35,56 @@ OLDEST = -(1 << 63)
 
 def observations(obs: DataFrame, types: dict[str, str] = TYPES) -> DataFrame:
     """(vintage, iso, yr, code, t, obs_id, v): annual rows, codes squeezed, v null where the value is missing or of the wrong form."""
-    squeeze = lambda c: F.upper(F.regexp_replace(c, r"\s", ""))
-    part = lambda k: F.split_part(squeeze(F.col("series_code")), F.lit("."), F.lit(k))
-    has = F.col("series_code").isNotNull()
-    iso = F.when(has, part(1)).otherwise(squeeze(F.col("iso")))
-    attr = F.when(has, part(2)).otherwise(squeeze(F.col("weo_subject_code")))
-    x = obs.filter(~has | (part(3) == "A")).select("vintage", iso.alias("iso"), "yr", attr.alias("code"), F.unix_micros(F.col("loaded_at").cast("timestamp")).alias("t"), "obs_id", F.regexp_replace("val", r"^[ \t]+|[ \t]+$", "").alias("v"))
+    squeeze = lambda c: F.upper(F.translate(c, " \t\n\x0b\f\r", ""))
+    x = obs.select("vintage", "yr", "obs_id", "val", F.unix_micros(F.col("loaded_at").cast("timestamp")).alias("t"), F.split(squeeze(F.col("series_code")), r"\.").alias("s"), squeeze(F.col("iso")).alias("i"), squeeze(F.col("weo_subject_code")).alias("w"))
+    has, part = F.col("s").isNotNull(), lambda k: F.coalesce(F.get("s", F.lit(k)), F.lit(""))
+    x = x.filter(~has | (part(2) == "A")).select("vintage", F.when(has, part(0)).otherwise(F.col("i")).alias("iso"), "yr", F.when(has, part(1)).otherwise(F.col("w")).alias("code"), "t", "obs_id", F.btrim("val", F.lit(" \t")).alias("v"))
     x = x.filter("vintage is not null and yr is not null and obs_id is not null and iso <> '' and code <> ''")
-    number = F.when(F.col("v").rlike(NUMBER), F.regexp_replace("v", ",", ""))
+    number = F.when(F.col("v").rlike(NUMBER), F.translate("v", ",", ""))
     form: Column = number
     for name, kind in types.items():
         own = {"string": F.col("v"), "date": F.when(F.col("v").rlike(DATE) & F.try_to_date("v", "yyyy-MM-dd").isNotNull(), F.col("v")), "int": F.when(F.col("v").rlike(r"^[+-]?\d{1,9}$"), F.regexp_replace("v", r"\+", ""))}[kind]
         form = F.when(F.col("code") == name, own).otherwise(form)
-    return x.withColumn("v", F.when(~F.upper("v").isin(MISSING), form))
+    gone = (F.length("v") <= max(map(len, MISSING))) & F.upper("v").isin(MISSING)
+    return x.withColumn("v", F.when(~gone, form))
 
 
-Cell = tuple[int, int, str | None]
+# A register is (slot, load time, minus the id, value) of the row that holds the cell.
+Register = tuple[int, int, int, str | None]
 
 
-def register(slot: int, t: int | None, obs_id: int, v: str | None) -> dict[int, Cell]:
+def register(row: Register) -> dict[int, Register]:
     """createCombiner: the registers of an entity that has one row."""
-    return {slot: (OLDEST if t is None else t, -obs_id, v)}
+    return {row[0]: row}
 
 
-def put(registers: dict[int, Cell], row: tuple) -> dict[int, Cell]:
-    """mergeValue: one more row of the entity; the latest load wins, then the smallest id, then the smaller value."""
-    slot, t, obs_id, v = row
-    new = (OLDEST if t is None else t, -obs_id, v)
-    old = registers.get(slot)
-    if old is None or beats(new, old):
-        registers[slot] = new
-    return registers
+def put(held: dict[int, Register], row: Register) -> dict[int, Register]:
+    """mergeValue: one more row of the entity."""
+    old = held.get(row[0])
+    if old is None or row[1] > old[1] or (row[1] == old[1] and beats(row, old)):
+        held[row[0]] = row
+    return held
 
 
-def beats(new: Cell, old: Cell) -> bool:
-    if new[0] != old[0]:
-        return new[0] > old[0]
-    if new[1] != old[1]:
-        return new[1] > old[1]
-    return new[2] is not None and (old[2] is None or new[2] < old[2])
+def beats(new: Register, old: Register) -> bool:
+    """Among rows loaded at the same time the smallest id wins, then a value over none, then the smaller value."""
+    if new[2] != old[2]:
+        return new[2] > old[2]
+    return new[3] is not None and (old[3] is None or new[3] < old[3])
 
 
-def merge(a: dict[int, Cell], b: dict[int, Cell]) -> dict[int, Cell]:
+def merge(a: dict[int, Register], b: dict[int, Register]) -> dict[int, Register]:
     """mergeCombiners: registers of the same entity from two partitions; associative and commutative."""
-    for slot, new in b.items():
-        old = a.get(slot)
-        if old is None or beats(new, old):
-            a[slot] = new
+    for row in b.values():
+        put(a, row)
     return a
 
 
 def registers(x: DataFrame, slots: dict[str, int], partitions: int):
-    """RDD of ((vintage, iso, yr), {slot: (time, -id, value)}) from ``observations``."""
+    """RDD of ("vintage|iso|yr", {slot: register}) from ``observations``."""
     slot = F.create_map(*[F.lit(v) for kv in slots.items() for v in kv])
-    rows = x.select("vintage", "iso", "yr", slot[F.col("code")].alias("slot"), "t", "obs_id", "v").rdd
-    pairs = rows.map(lambda r: ((r[0], r[1], r[2]), (r[3], r[4], r[5], r[6])))
-    return pairs.combineByKey(lambda row: register(*row), put, merge, numPartitions=partitions)
+    rows = x.select(F.concat_ws("|", "vintage", "iso", "yr"), slot[F.col("code")], F.coalesce("t", F.lit(OLDEST)), -F.col("obs_id"), "v").rdd
+    return rows.map(lambda r: (r[0], r[1:])).combineByKey(register, put, merge, numPartitions=partitions)
 
 
 ENCODERS = {"double": float, "int": int, "date": dt.date.fromisoformat, "string": str}
@@ -101,12 +95,13 @@ def encoder(kinds: list[str]):
     read = [ENCODERS[k] for k in kinds]
 
     def row(kv: tuple) -> tuple:
-        key, held = kv
+        vintage, rest = kv[0].split("|", 1)
+        iso, yr = rest.rsplit("|", 1)
         values, ids = [None] * len(read), [None] * len(read)
-        for slot, (_, minus_id, v) in held.items():
+        for slot, _, minus_id, v in kv[1].values():
             if v is not None:
                 values[slot], ids[slot] = read[slot](v), -minus_id
-        return (*key, *values, ids)
+        return (int(vintage), iso, int(yr), *values, ids)
 
     return row
 
