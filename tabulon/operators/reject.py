@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.session import narrow
+from tabulon.session import cut, narrow
 
 # Columns of the two record kinds, spellings of a missing cell.
 KINDS = {"panel": ["country", "year", "gdp", "pop"], "grunfeld": ["firm", "year", "invest", "value", "capital"]}
@@ -87,7 +87,7 @@ def schemas(heads: DataFrame) -> DataFrame:
 
 def judged(records: DataFrame) -> DataFrame:
     """All records but the headers, with the schema of their file and ``ok``: matches the whole-row pattern."""
-    heads = headers(records)
+    heads = cut(headers(records))  # read once for the bound, the schemas and the join
     r = records.filter("line_no > 1").select("file_id", "line_no", F.coalesce("raw_line", F.lit("")).alias("raw_line"))
     r = r.join(narrow(heads, MAX_BROADCAST_FILES, "headers"), "file_id", "left")
     r = r.join(F.broadcast(schemas(heads)), ["d", "names"], "left")
