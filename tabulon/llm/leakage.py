@@ -1,24 +1,28 @@
 """Evaluation texts leaking into training text (problem 8).
 
-Size-partitioned MinHash containment search: the items, short, are the queries; each is
-represented by the bottom-k MinHash sketch of its shingles (five words; five characters in
-Han script), and containment in a long document is estimated by looking the k values up in
-the document's shingles, so the document's length does not dilute it. Items are partitioned
-by size, k being the upper bound of the partition, and items beyond the largest partition
-are cut into overlapping segments: a leak of 20 words with three changed leaves, in the
-worst case, one shingle of five (17 words in four runs), so a smaller k would lose leaks.
-What the sketches hit is verified by exact comparison of the shingles' surroundings: 20
-consecutive words of the item with at most three changed (40 and 6 characters), the first and
-the last of them unchanged, so that a shorter quotation is not filled up by its neighbours.
-A redaction counts as one changed word.
-
-The items are a stated query set, compared with all documents in blocks of BLOCK_ITEMS; one
-block's sketches are what a task holds in memory. Documents stay where they are read: no
-shuffle, no text moved, one pass per block; a document in many copies is checked in each.
+Size-partitioned MinHash containment search. An item's passage is cut into shingles (five
+words; five characters in Han script) and represented by a bottom-k MinHash sketch. Items are
+partitioned by their number of shingles n; the bounds of the partitions grow by a fifth, and
+k is the lower bound of the partition, so a sketch always holds fewer values than the item
+has, and at least four fifths of them. Containment of a sketch in a document is estimated by
+looking its values up among the document's shingles, so the document's length does not
+dilute it. The share kept must be this high because a leak may be as short as 20 words with
+three changed, which leaves as little as one shingle of the item; longer passages leave more.
+
+The documents are read once, whatever the number of items: a bit table of all sketch values,
+sized to them and bounded by MAX_BITS, goes to every task and drops nearly all shingles, and
+one of the items' word pairs drops those whose surroundings cannot be a leak; what passes
+leaves the task as stretches, word numbers of the text around the hits. Stretches and
+sketches are joined by value in Spark, so neither the items nor their sketches are held whole
+anywhere. What they hit is verified exactly along the common diagonal of stretch and item:
+20 consecutive words of the item with at most three changed (40 and 6 characters), the first
+and the last of them unchanged, so that a shorter quotation is not filled up by its
+neighbours. A redaction counts as one changed word.
 
 Defined results: null and empty texts or passages hold and leak nothing; passages shorter
 than the window leak nothing; an item is reported once per document however often it
-occurs; items of equal text are each reported; extra columns are ignored.
+occurs; items of equal text are each reported, and so are rows of equal id once; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -29,14 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documented parameters: shingle length, window and changes allowed for words and for characters, upper bounds of the size partitions, overlap of segments, items per block.
+from tabulon.session import cut
+
+#: Documented parameters: shingle length, window and changes allowed for words and for characters, growth of the size partitions, largest bit table (bits, a power of two), bits per value in it.
 SHINGLE = 5
 WORDS, CHARS = (20, 3), (40, 6)
-PARTITIONS = (32, 64, 128, 256, 512)
-BLOCK_ITEMS = 2_000
+GROWTH = 1.2
+MAX_BITS, BITS_PER_VALUE = 1 << 30, 32
 
 _HYPHEN = re.compile(r"(?<=\w)[-­‐]\s*\n\s*(?=\w)")
 _BLOCKS = re.compile(r"\n[ \t\r]*\n\s*")
@@ -78,158 +85,162 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(ids: np.ndarray) -> np.ndarray:
-    """Hash of the five units from each position on; ids are unit numbers below 2**31."""
-    x = ids.astype(np.uint64)
-    n = max(0, len(x) - SHINGLE + 1)
-    h = np.zeros(n, np.uint64)
-    for k in range(SHINGLE):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x[k : k + n] + np.uint64(1))
-    return h
-
-
-class Sketches:
-    """The bottom-k sketches of one block of items in one unit (words or characters), with what verifies their hits."""
-
-    def __init__(self, items: list[tuple], chars: bool):
-        self.chars, (self.window, self.changes) = chars, CHARS if chars else WORDS
-        self.vocabulary: dict[str, int] = {}
-        self.keys, texts, self.sizes = [], [], []
-        for key, passage in items:
-            u = units_of(passage, chars)
-            if len(u) >= self.window:
-                self.keys.append(key)
-                texts.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in u], np.int32))
-        pad = np.full(self.window, -1, np.int32)
-        self.text = np.concatenate([x for t in texts for x in (t, pad)] or [pad])
-        self.text = np.concatenate([pad, self.text])
-        at, hashes, places, owners = self.window, [], [], []
-        for i, t in enumerate(texts):
-            values = shingles(t)
-            self.sizes.append(len(np.unique(values)))
-            for lo in range(0, len(values), PARTITIONS[-1]):
-                part = values[lo : lo + PARTITIONS[-1]]
-                k = next(p for p in PARTITIONS if p >= len(part))
-                keep = np.argsort(part, kind="stable")[:k]  # bottom k of the segment
-                hashes.append(part[keep])
-                places.append(at + lo + keep)
-                owners.append(np.full(len(keep), i))
-            at += len(t) + self.window
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hash, self.place = h[order], (np.concatenate(places) if places else np.zeros(0, np.int64))[order]
-        self.owner = (np.concatenate(owners) if owners else np.zeros(0, np.int64))[order]
-        # membership table: one bit test settles nearly every shingle of a document
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.hash >> np.uint64(44)).astype(np.int64)] = True
-
-    def search(self, docs: list[tuple]) -> Iterator[tuple]:
-        """(document key, item key, containment) of every verified leak among (key, text)."""
-        get, w = self.vocabulary.get, self.window
-        ids, owner = [], []
-        pad = [0] * w
-        ids.append(np.zeros(w, np.int32))
-        for d, (_, text) in enumerate(docs):
-            u = [get(x, 0) for x in units_of(text, self.chars)]
-            u.extend(pad)
-            ids.append(np.array(u, np.int32))
-            owner.append(len(u))
-        x = np.concatenate(ids)
-        owner = np.repeat(np.arange(len(docs)), owner)
-        known = x > 0
-        runs = known[: len(x) - SHINGLE + 1].copy()
-        for k in range(1, SHINGLE):
-            runs &= known[k : len(x) - SHINGLE + 1 + k]
-        spots = np.flatnonzero(runs)
-        if not len(spots) or not len(self.hash):
-            return
-        h = np.zeros(len(spots), np.uint64)
-        for k in range(SHINGLE):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x[spots + k].astype(np.uint64) + np.uint64(1))
-        hit = self.bits[(h >> np.uint64(44)).astype(np.int64)]
-        spots, h = spots[hit], h[hit]
-        lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-        n = hi - lo
-        p = np.repeat(spots, n)
-        j = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        if not len(p):
-            return
-        item, q = self.owner[j], self.place[j]
-        pair = owner[p - w].astype(np.int64) * len(self.keys) + item
-        good = self.verify(x, p, q)
-        leaked, first = np.unique(pair[good], return_index=True)
-        if not len(leaked):
-            return
-        # containment by the sketch: share of the item's values that the document has
-        wanted = np.isin(pair, leaked)
-        hits = np.unique(np.stack([pair[wanted], h[np.repeat(np.arange(len(h)), n)][wanted].astype(np.int64)]), axis=1)[0]
-        count = np.bincount(np.searchsorted(leaked, hits), minlength=len(leaked))
-        for k, c in zip(leaked, count, strict=True):
-            d, i = divmod(int(k), len(self.keys))
-            yield docs[d][0], self.keys[i], float(c / max(1, self.sizes[i]))
-
-    def verify(self, x: np.ndarray, p: np.ndarray, q: np.ndarray, step: int = 20_000) -> np.ndarray:
-        """Which hits (document place p, item place q) lie in a window of the item with few enough changes."""
-        w, reach = self.window, self.window - SHINGLE
-        span = np.arange(-reach, reach + SHINGLE)
-        out = np.zeros(len(p), bool)
-        for a in range(0, len(p), step):
-            pp, qq = p[a : a + step, None] + span, q[a : a + step, None] + span
-            np.clip(pp, 0, len(x) - 1, out=pp)
-            np.clip(qq, 0, len(self.text) - 1, out=qq)
-            t = self.text[qq]
-            same = (x[pp] == t).astype(np.int16)
-            total = np.concatenate([np.zeros((len(same), 1), np.int16), np.cumsum(same, axis=1, dtype=np.int16)], axis=1)
-            outside = np.concatenate([np.zeros((len(same), 1), np.int16), np.cumsum(t < 0, axis=1, dtype=np.int16)], axis=1)
-            enough = (total[:, w:] - total[:, :-w] >= w - self.changes) & (outside[:, w:] == outside[:, :-w])
-            enough &= (same[:, : 1 - w] > 0) & (same[:, w - 1 :] > 0)
-            out[a : a + step] = enough.any(axis=1)
-        return out
-
-
-def leaks(documents: DataFrame, items: DataFrame, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(doc_id, item_id, containment): every document that holds a passage, wholly or in part, and the item it leaks."""
-    spark = documents.sparkSession
-    queries = items.filter("passage is not null").select("item_id", "passage")
-    n = queries.count()
-    blocks = max(1, -(-n // block_items))
-    docs = documents.filter("text is not null").select("doc_id", "text")
+class Numbers(dict):
+    """Words to 64-bit numbers, the same in every task; emptied when it has grown large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        n = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) or 1
+        return n
+
+
+_numbers = Numbers()
+
+
+def numbers(units: list[str]) -> np.ndarray:
+    return np.fromiter(map(_numbers.__getitem__, units), np.uint64, len(units))
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(x: np.ndarray, chars: bool, size: int = SHINGLE) -> np.ndarray:
+    """Hash of the five (or so many) units from each position on; words and characters never share a value."""
+    n = max(0, len(x) - size + 1)
+    h = np.full(n, 1 if chars else 0, np.uint64)
+    for k in range(size):
+        h *= _BASE
+        h += x[k : k + n]
+    return mix(h)
+
+
+def sketch_size(n: int) -> int:
+    """k of an item with n shingles: the lower bound of its size partition, below n."""
+    low = 1
+    while (up := max(low + 1, int(low * GROWTH))) < n:
+        low = up
+    return low
+
+
+def sketches(items: DataFrame) -> DataFrame:
+    """(item_id, chars, units array of the passage's numbers, k, hashes, places, pairs): one row per passage long enough to leak; pairs are hashes of two units."""
+    kind = dict(items.dtypes)["item_id"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for key, passage in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                chars = bool(_HAN.search(passage))
+                x = numbers(units_of(passage, chars))
+                if len(x) < (CHARS if chars else WORDS)[0]:
+                    continue
+                h = shingles(x, chars)
+                value, place = np.unique(h, return_index=True)  # a repeated shingle is one value, found at each of its places below
+                kept = value[: sketch_size(len(value))]  # bottom k: values ascend in the MinHash order
+                at = np.flatnonzero(np.isin(h, kept))
+                rows.append((key, chars, x.astype(np.int64), len(kept), h[at].astype(np.int64), at.astype(np.int32), shingles(x, chars, 2).astype(np.int64)))
+            if rows:
+                cols = list(zip(*rows, strict=True))
+                kinds = [b.schema.field(0).type, pa.bool_(), longs, pa.int32(), longs, pa.list_(pa.int32()), longs]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["item_id", "chars", "units", "k", "hashes", "places", "pairs"])
+
+    longs = pa.list_(pa.int64())
+    return items.filter("passage is not null").select("item_id", "passage").mapInArrow(work, f"item_id {kind}, chars boolean, units array<bigint>, k int, hashes array<bigint>, places array<int>, pairs array<bigint>")
+
+
+class BitTable:
+    """One bit per value, by its leading bits; a value it lacks was never put in. Sized to the values, up to MAX_BITS."""
+
+    def __init__(self, values: DataFrame):
+        """values: a column ``hash``. The words of the table are put together by Spark; at most one per 64 bits comes back."""
+        n = values.count()
+        self.log = min(MAX_BITS, max(1 << 16, 1 << (n * BITS_PER_VALUE).bit_length())).bit_length() - 1
+        at = values.select(F.shiftrightunsigned("hash", 64 - self.log).alias("at"))
+        words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("b")).toArrow()
+        table = np.zeros((1 << self.log) // 64, np.uint64)
+        table[np.asarray(words.column(0))] = np.asarray(words.column(1)).astype(np.int64).view(np.uint64)
+        self.bytes = table.view(np.uint8)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = h >> np.uint64(64 - self.log)
+        return (self.bytes[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+
+
+def promising(x: np.ndarray, hits: np.ndarray, chars: bool, pairs: BitTable) -> np.ndarray:
+    """The hits that lie in a window with enough pairs known to some item: a changed unit breaks two pairs, so no leak is lost."""
+    window, changes = CHARS if chars else WORDS
+    if len(x) < window:
+        return hits[:0]
+    total = np.concatenate([[0], np.cumsum(pairs.has(shingles(x, chars, 2)), dtype=np.int64)])
+    good = total[window - 1 :] - total[: len(total) - window + 1] >= window - 1 - 2 * changes
+    before = np.concatenate([[0], np.cumsum(good)])  # windows that start at a place from hit - reach to hit
+    return hits[before[np.minimum(hits + 1, len(good))] > before[np.clip(hits - (window - SHINGLE), 0, len(good))]]
+
+
+def stretches(documents: DataFrame, values: BitTable, pairs: BitTable) -> DataFrame:
+    """(doc_id, chars, units, hashes, places): the parts of every document around promising sketch values; hits closer than two windows share a stretch."""
+    kind = dict(documents.dtypes)["doc_id"]
+    held = documents.sparkSession.sparkContext.broadcast((values, pairs))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, pairs = held.value
+
+        def cut_out(key, text: str, chars: bool) -> Iterator[tuple]:
+            x = numbers(units_of(text, chars))
+            h = shingles(x, chars)
+            hits = np.flatnonzero(values.has(h))
+            if len(hits):
+                hits = promising(x, hits, chars, pairs)
+            if not len(hits):
+                return
+            reach = (CHARS if chars else WORDS)[0] - SHINGLE
+            for run in np.split(hits, np.flatnonzero(np.diff(hits) > 2 * reach + SHINGLE) + 1):
+                lo, hi = max(0, run[0] - reach), min(len(x), run[-1] + SHINGLE + reach)
+                yield key, chars, x[lo:hi].astype(np.int64), h[run].astype(np.int64), (run - lo).astype(np.int32)
+
+        for b in batches:
+            rows: list[tuple] = []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows.extend(cut_out(key, text, False))
+                if _HAN.search(text):
+                    rows.extend(cut_out(key, text, True))
+            if rows:
+                kinds = [b.schema.field(0).type, pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "chars", "units", "hashes", "places"])
+
+    return documents.filter("text is not null").select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, chars boolean, units array<bigint>, hashes array<bigint>, places array<int>")
+
+
+def leaks_along(x: np.ndarray, t: np.ndarray, diagonal: int, chars: bool) -> bool:
+    """Whether stretch x, shifted by the diagonal against item t, holds a window of the item with few enough changes."""
+    window, changes = CHARS if chars else WORDS
+    lo, hi = max(0, diagonal), min(len(x), len(t) + diagonal)
+    if hi - lo < window:
+        return False
+    same = x[lo:hi] == t[lo - diagonal : hi - diagonal]
+    total = np.concatenate([[0], np.cumsum(same)])
+    return bool(((total[window:] - total[:-window] >= window - changes) & same[: len(same) - window + 1] & same[window - 1 :]).any())
+
+
+def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, containment): every document that holds a passage, wholly or in part, and the item it leaks; containment is the share of the item's sketch found there."""
+    s = cut(sketches(items).withColumn("item", F.monotonically_increasing_id()))  # ids of items need not be unique
+    values = s.select("item", "chars", F.explode(F.arrays_zip("hashes", "places")).alias("e")).select("item", F.col("e.hashes").alias("hash"), F.col("e.places").alias("q"))
+    known = BitTable(values), BitTable(s.select(F.explode("pairs").alias("hash")))
+    d = cut(stretches(documents, *known).withColumn("stretch", F.monotonically_increasing_id()))
+    hits = d.select("stretch", F.explode(F.arrays_zip("hashes", "places")).alias("e")).select("stretch", F.col("e.hashes").alias("hash"), F.col("e.places").alias("p"))
+    found = hits.join(values, "hash").groupBy("stretch", "item", (F.col("p") - F.col("q")).alias("diagonal")).agg(F.count_distinct("hash").alias("n"))
     kinds = dict(documents.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
-    out = None
-    for b in range(blocks):
-        # a block of the query set, never the whole of it, is held in memory
-        block = queries.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        pairs = [(r[0], r[1]) for r in block.sort("item_id").collect()]
-        held = spark.sparkContext.broadcast([(k, t) for k, t in pairs])
-
-        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            rows = held.value
-            words = Sketches([r for r in rows if not _HAN.search(r[1])], False)
-            chars = Sketches([r for r in rows if _HAN.search(r[1])], True)
-            for batch in batches:
-                keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                found = []
-                for at, stop in portions(texts):
-                    part = list(zip(keys[at:stop], texts[at:stop], strict=True))
-                    found += words.search(part)
-                    found += chars.search([r for r in part if _HAN.search(r[1])])
-                if found:
-                    d, i, c = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(d, batch.schema.field(0).type), pa.array(i), pa.array(c, pa.float64())], ["doc_id", "item_id", "containment"])
-
-        part = docs.mapInArrow(search, f"doc_id {kinds[0]}, item_id {kinds[1]}, containment double")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def portions(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """Runs of a batch of at most so many characters, or of one text."""
-    at = size = 0
-    for k, t in enumerate(texts):
-        if size and size + len(t) > chars:
-            yield at, k
-            at = k
-            size = 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+    pairs = found.join(d.select("stretch", "doc_id", "chars", "units"), "stretch").join(s.select("item", "item_id", "k", F.col("units").alias("t")), "item").select("doc_id", "item", "item_id", "chars", "diagonal", "n", "k", "units", "t")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            chars, diagonal = (b.column(i).to_pylist() for i in (3, 4))
+            x, t = ((c.offsets.to_numpy(), c.values.to_numpy()) for c in (b.column(7), b.column(8)))
+            good = [leaks_along(x[1][x[0][i] : x[0][i + 1]], t[1][t[0][i] : t[0][i + 1]], diagonal[i], chars[i]) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays(b.columns[:7], b.schema.names[:7]).filter(pa.array(good, pa.bool_()))
+
+    good = pairs.mapInArrow(check, f"doc_id {kinds[0]}, item bigint, item_id {kinds[1]}, chars boolean, diagonal int, n bigint, k int")
+    per = good.groupBy("doc_id", "item", "item_id").agg(F.least(F.lit(1.0), F.sum("n") / F.max("k")).alias("containment"))
+    return per.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))

@@ -33,7 +33,7 @@ def check(rows, items):
 def test_pack(spark):
     items = [(i, "abc"[i % 7 % 3], (i * 37) % 300 + (1000 if i % 50 == 0 else 0)) for i in range(1, 400)] + [(500, None, 0), (501, "a", 100)]
     items = [(k, s or "", n) for k, s, n in items]
-    rows = packed(spark, items, [("s", 256), ("l", 4000), ("bad", 0)], bucket_items=150, window=4).collect()
+    rows = packed(spark, items, [("s", 256), ("l", 4000), ("bad", 0)], bucket_items=150, window=4, window_items=1).collect()
     size = check(rows, items)
     assert {r["bucket"] for r in rows} == {0, 1, 2} and not [r for r in rows if r["key"] == 500]
     used = sum(n for k, n in size.items() if k[0] == "s")
@@ -42,14 +42,24 @@ def test_pack(spark):
 
 def test_mixture_follows_the_target(spark):
     items = [(i, "big" if i % 3 else "small", 20) for i in range(3000)]
-    rows = packed(spark, items, [("c", 200)], bucket_items=1000, window=10).collect()
-    share = {}
+    rows = packed(spark, items, [("c", 200)], bucket_items=1000, window=10, window_items=1).collect()
+    share, window = {}, {}
     for r in rows:
         share.setdefault((r["bucket"], r["window_no"]), []).append(r["source"] == "small")
-    full = [sum(v) / len(v) for v in share.values() if len(v) == 100]
+        window.setdefault((r["bucket"], r["container_no"]), set()).add(r["window_no"])
+    assert all(len(w) == 1 for w in window.values())  # a container belongs to one window
+    full = [sum(v) / len(v) for v in share.values() if len(v) >= 100]
     assert len(full) > 20 and sum(abs(s - 1 / 3) for s in full) / len(full) < 0.03
 
 
+def test_mixture_of_unequal_items(spark):
+    sizes = [int(20 * 1.5 ** (i * 7919 % 11)) for i in range(4000)]
+    items = [(i, "abc"[(i * i) % 7 % 3], n) for i, n in enumerate(sizes)]
+    p = packed(spark, items, [("s", 300), ("l", 8000)], bucket_items=2000, window=8, window_items=256)
+    m = P.mixture(p.withColumn("window", F.concat_ws("-", "bucket", "window_no"))).collect()
+    assert all(r["mean_distance"] < 0.05 and r["n_windows"] > 5 for r in m), m
+
+
 def test_deficit_is_carried():
     # a source that is owed tokens comes first
     got = P.fill([1, 2], [10, 10], ["a", "b"], {"a": 0.5, "b": 0.5}, {"b": 50.0}, 10, 1)
