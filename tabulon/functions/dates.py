@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -158,3 +161,36 @@ def daily(x, mask: str) -> Column:
         t = F.regexp_replace(t, rf"{name}[a-z]*", f" {i} ")
     part = {c: F.try_element_at(F.regexp_extract_all(t, F.lit(r"(\d+)"), F.lit(1)), F.lit(k)).try_cast("int") for k, c in enumerate(mask.upper(), 1)}
     return mdy(part["M"], part["D"], _year4(part["Y"]))
+
+
+# --- constants, as numbers that can be compared with a period column -----------------
+
+
+def td(text: str) -> float:
+    """Days of a text such as 5jan2020."""
+    m = re.fullmatch(r"(\d{1,2})\s*([a-z]{3})[a-z]*\s*(\d{4})", text.strip().lower())
+    return float((dt.date(int(m[3]), MONTHS.index(m[2]) + 1, int(m[1])) - dt.date(1960, 1, 1)).days)
+
+
+def _period(text: str, letter: str, per_year: int) -> float:
+    m = re.fullmatch(rf"(\d{{4}})\s*{letter}\s*(\d{{1,2}})", text.strip().lower())
+    if not m or not 1 <= int(m[2]) <= per_year:
+        raise ValueError(f"no period: {text}")
+    return float((int(m[1]) - 1960) * per_year + int(m[2]) - 1)
+
+
+def tm(text: str) -> float:
+    """Months of 2020m3; ``tq``, ``th`` and ``tw`` alike for 2020q1, 2020h1 and 2020w1."""
+    return _period(text, "m", 12)
+
+
+def tq(text: str) -> float:
+    return _period(text, "q", 4)
+
+
+def th(text: str) -> float:
+    return _period(text, "h", 2)
+
+
+def tw(text: str) -> float:
+    return _period(text, "w", 52)

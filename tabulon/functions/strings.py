@@ -123,6 +123,32 @@ def string(x, decimals: int | None = None) -> Column:
     return F.when(v.isNull(), ".").when(whole, F.format_string("%.0f", v)).otherwise(v.cast("string"))
 
 
+def strofreal(x, fmt: str) -> Column:
+    """A number by a format %[-][0][width][.digits]kind: f fixed, e with an exponent, g the shorter of the two in so many significant digits; missing is '.'."""
+    m = re.fullmatch(r"%(-?)(0?)(\d*)(?:\.(\d+))?([feg])", fmt)
+    if not m:
+        raise ValueError(f"no number format: {fmt}")
+    left, zeros, width, digits, kind = m.groups()
+    v = col(x).cast("double")
+    d = 6 if digits is None else int(digits)
+    text = lambda k: F.format_string(f"%.{k}f", v)
+    power = lambda k: F.format_string(f"%.{k}e", v)
+    if kind == "g":
+        d = max(d, 1)
+        at = F.when(v == 0, 0).otherwise(F.regexp_extract(power(d - 1), r"e([+-]\d+)$", 1).cast("int"))
+        fixed = F.element_at(F.array(*[text(d - 1 - e) for e in range(-4, d)]), F.greatest(F.lit(1), F.least(F.lit(d + 4), at + 5)))
+        fixed = F.when(fixed.contains("."), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
+        body = F.when(at.between(-4, d - 1), fixed).otherwise(F.regexp_replace(power(d - 1), r"(\.\d*?)0+e", "$1e"))
+        body = F.regexp_replace(body, r"\.e", "e")
+    else:
+        body = text(d) if kind == "f" else power(d)
+    out = F.when(v.isNull(), ".").otherwise(body)
+    if not width:
+        return out
+    w = F.greatest(F.length(out), F.lit(int(width)))
+    return F.rpad(out, w, F.lit(" ")) if left else F.lpad(out, w, F.lit("0" if zeros else " "))
+
+
 def real(x) -> Column:
     """The whole text as a number, or missing."""
     t = trim(x)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.functions.numeric import beta_inc, chi2_cdf, f_tail, inv_t_tail, t_tail
+from tabulon.functions.numeric import chi2_cdf, f_tail, inv_t_tail, t_tail
 from tabulon.operators.aggregate import correlation
 from tabulon.operators.prep import DataError
 
@@ -137,13 +137,17 @@ def sandwich(x: DataFrame, cols: list[str], score: Column, cluster: str | None =
 
 
 def regress(df: DataFrame, y: str, terms: dict[str, Column], weight: str | None = None, kind: str = "aweight", robust: bool = False, cluster: str | None = None, constant: bool = True) -> Estimates:
-    """OLS or WLS. fweight: w copies of a row; aweight: scaled to n; pweight: as aweight, robust."""
+    """OLS or WLS. fweight: w copies of a row; aweight: scaled to n; pweight: as aweight, robust; iweight: taken as they are, N their whole sum, classical errors only."""
+    if kind not in ("fweight", "aweight", "pweight", "iweight"):
+        raise DataError(198, f"unknown weight {kind}")
+    if kind == "iweight" and weight and (robust or cluster):
+        raise DataError(101, "iweights have no robust errors")
     keep = {"cl": F.col(cluster)} if cluster else {}
     x = prepared(df, F.col(y), terms, F.col(weight) if weight else None, keep)
     n, sw = x.agg(F.count("*"), F.sum("w")).first()
     robust = robust or kind == "pweight" and weight is not None
-    N = int(round(sw)) if kind == "fweight" and weight else n
-    scale = 1.0 if kind == "fweight" or not weight or not n else n / sw
+    N = int(sw) if kind == "iweight" and weight else int(round(sw)) if kind == "fweight" and weight else n
+    scale = 1.0 if kind in ("fweight", "iweight") or not weight or not n else n / sw
     names = [*terms, *(["_cons"] if constant else [])]
     raw = [*[f"x{i}" for i in range(len(terms))], *(["1"] if constant else [])]
     root = F.sqrt(F.col("w") * scale)
@@ -182,7 +186,7 @@ def regress(df: DataFrame, y: str, terms: dict[str, Column], weight: str | None
     slopes = [i for i, j in enumerate(kept) if raw[j] != "1"]
     F_stat = float(b[slopes] @ np.linalg.pinv(V[np.ix_(slopes, slopes)]) @ b[slopes] / len(slopes)) if slopes and rss > 0 else math.nan
     r2 = 1 - rss / tss if tss > 0 else math.nan
-    stats = {"N": N, "r2": r2, "r2_a": 1 - (1 - r2) * (N - (1 if constant else 0)) / (N - K), "rmse": math.sqrt(s2), "rss": rss, "tss": tss, "F": F_stat, "df_m": len(slopes), "p": f_tail(len(slopes), df_r, F_stat) if F_stat == F_stat else math.nan}
+    stats = {"N": N, "r2": r2, "r2_a": 1 - (1 - r2) * (N - (1 if constant else 0)) / (N - K), "rmse": math.sqrt(s2), "rss": rss, "tss": tss, "F": F_stat, "df_m": len(slopes), "p": float(f_tail(len(slopes), df_r, F_stat)) if F_stat == F_stat else math.nan}
     kept_names = [names[j] for j in kept]
     return Estimates("regress", y, kept_names, b, V, N, df_r, [v for j, v in enumerate(names) if j not in kept], stats, dict(terms))
 
@@ -204,7 +208,10 @@ def _from_rows(x: DataFrame, cols: list[str]) -> tuple[np.ndarray, float, np.nda
 
 
 def xtreg(df: DataFrame, y: str, terms: dict[str, Column], panel: str, model: str = "fe", robust: bool = False, cluster: str | None = None) -> Estimates:
-    """Panel regression: ``fe`` within, ``re`` random effects (Swamy-Arora), ``be`` between.
+    """Panel regression: ``fe`` within, ``re`` random effects, ``be`` between.
+
+    sigma_u is that of the fixed effects less the noise of their means, sigma_e / sqrt(T), and
+    weighs the random effects too (Swamy and Arora would take it from the between regression).
 
     Panel means are one group-by; they are joined back on the panel key, so a panel with a
     third of all rows is split by adaptive execution and never gathered in one task.
@@ -216,7 +223,7 @@ def xtreg(df: DataFrame, y: str, terms: dict[str, Column], panel: str, model: st
     means = x.groupBy("g").agg(F.count("*").alias("T"), *[F.avg(c).alias(f"m_{c}") for c in cols])
     grand = x.agg(F.count("*"), *[F.avg(c) for c in cols]).first()
     N, gm = grand[0], dict(zip(cols, grand[1:], strict=True))
-    G, Tbar, inv_T = means.agg(F.count("*"), F.avg("T"), F.avg(1 / F.col("T"))).first()
+    G, Tbar = means.agg(F.count("*"), F.avg("T")).first()
     within = x.join(means, "g")
     # between estimator, needed by be and re
     bx = means.select(*[F.col(f"m_{c}").alias(c) for c in xs], F.lit(1.0).alias("one"), F.col("m_y").alias("y"))
@@ -244,8 +251,9 @@ def xtreg(df: DataFrame, y: str, terms: dict[str, Column], panel: str, model: st
     per = means.select((F.col("m_y") - fitted("m_")).alias("a"), fitted("m_").alias("fit"), "m_y")
     a = per.agg(F.var_samp("a"), correlation(F.col("fit"), F.col("m_y"))).first()
     all_r2 = x.agg(correlation(fitted(""), F.col("y"))).first()[0]
-    fe_sigma_u = math.sqrt(max(0.0, (a[0] or 0.0)))
-    stats = {"N": N, "N_g": G, "r2_w": 1 - rss / tss_w, "r2_b": (a[1] or 0.0) ** 2, "r2_o": (all_r2 or 0.0) ** 2, "sigma_e": math.sqrt(s2e), "sigma_u": fe_sigma_u}
+    # the fixed effects hold the noise of their means, s2e / T, which is taken off
+    s2u = max(0.0, (a[0] or 0.0) - s2e / Tbar)
+    stats = {"N": N, "N_g": G, "r2_w": 1 - rss / tss_w, "r2_b": (a[1] or 0.0) ** 2, "r2_o": (all_r2 or 0.0) ** 2, "sigma_e": math.sqrt(s2e), "sigma_u": math.sqrt(s2u)}
     if model == "fe":
         if cluster:
             resid = F.col("y") - sum((float(v) * F.col(xs[j] if j < len(xs) else "one") for v, j in zip(bw, kept, strict=True)), F.lit(0.0))
@@ -261,9 +269,6 @@ def xtreg(df: DataFrame, y: str, terms: dict[str, Column], panel: str, model: st
         _, rss_p, _, _ = _from_rows(pooled, [*xs, "one", "y"])
         stats["F_f"] = ((rss_p - rss) / (G - 1)) / s2e if s2e > 0 and G > 1 else math.nan
         return Estimates("xtreg, fe", y, [names[j] for j in slopes], b, V, N, df_r, [n for j, n in enumerate(terms) if j not in slopes], stats, dict(terms), {"panel": panel})
-    _, rss_b, _, kb = _from_rows(bx, [*xs, "one", "y"])
-    s2b = rss_b / max(G - len(kb), 1)
-    s2u = max(0.0, s2b - s2e * inv_T)
     theta = 1 - F.sqrt(F.lit(s2e) / (F.col("T") * s2u + s2e)) if s2e + s2u > 0 else F.lit(1.0)
     if s2e == 0 and s2u > 0:
         theta = F.lit(1.0)
@@ -287,7 +292,7 @@ def hausman(fe: Estimates, re: Estimates) -> dict:
     D = fe.V[np.ix_(i, i)] - re.V[np.ix_(j, j)]
     definite = bool(np.all(np.linalg.eigvalsh(D) > 0)) if len(common) else False
     chi = abs(float(d @ (np.linalg.inv(D) if definite else np.linalg.pinv(D)) @ d))
-    return {"chi2": chi, "df": len(common), "p": 1 - chi2_cdf(len(common), chi), "positive_definite": definite}
+    return {"chi2": chi, "df": len(common), "p": float(1 - chi2_cdf(len(common), chi)), "positive_definite": definite}
 
 
 def ivregress(df: DataFrame, y: str, exog: dict[str, Column], endog: dict[str, Column], instruments: dict[str, Column], robust: bool = False) -> Estimates:
@@ -331,4 +336,4 @@ def ivregress(df: DataFrame, y: str, exog: dict[str, Column], endog: dict[str, C
 
 
 def f_p(d1: float, d2: float, f: float) -> float:
-    return beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if f > 0 else 1.0
+    return float(f_tail(d1, d2, f))

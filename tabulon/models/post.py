@@ -104,8 +104,8 @@ def wald(e: Estimates, restrictions: list[tuple[dict[str, float], float]]) -> di
     stat = float(d @ np.linalg.pinv(Rm @ e.V @ Rm.T) @ d)
     q = len(restrictions)
     if math.isfinite(e.df_r):
-        return {"F": stat / q, "df": q, "df_r": e.df_r, "p": f_tail(q, e.df_r, stat / q)}
-    return {"chi2": stat, "df": q, "p": 1 - chi2_cdf(q, stat)}
+        return {"F": stat / q, "df": q, "df_r": e.df_r, "p": float(f_tail(q, e.df_r, stat / q))}
+    return {"chi2": stat, "df": q, "p": float(1 - chi2_cdf(q, stat))}
 
 
 def test(e: Estimates, *names: str, value: float = 0.0) -> dict:
@@ -116,5 +116,5 @@ def lincom(e: Estimates, weights: dict[str, float]) -> dict:
     w = np.array([weights.get(n, 0.0) for n in e.names])
     b, se = float(w @ e.b), math.sqrt(max(0.0, float(w @ e.V @ w)))
     t = b / se if se else math.nan
-    q = inv_t_tail(e.df_r, 0.025) if math.isfinite(e.df_r) else 1.959963984540054
-    return {"b": b, "se": se, "t": t, "p": 2 * t_tail(e.df_r, abs(t)) if math.isfinite(e.df_r) else math.erfc(abs(t) / math.sqrt(2)), "low": b - q * se, "high": b + q * se}
+    q = float(inv_t_tail(e.df_r, 0.025)) if math.isfinite(e.df_r) else 1.959963984540054
+    return {"b": b, "se": se, "t": t, "p": float(2 * t_tail(e.df_r, abs(t))) if math.isfinite(e.df_r) else math.erfc(abs(t) / math.sqrt(2)), "low": b - q * se, "high": b + q * se}

@@ -53,6 +53,8 @@ def statistic(stat: str, x: Column, w: Column | None = None, order: Column | Non
     var = F.try_divide(swxx - F.try_divide(swx * swx, sw), sw - 1)
     if stat in ("var", "sd"):
         return var if stat == "var" else F.sqrt(F.greatest(var, F.lit(0.0)))
+    if stat == "cv":
+        return F.try_divide(F.sqrt(F.greatest(var, F.lit(0.0))), F.try_divide(swx, sw))
     raise DataError(198, f"unknown statistic {stat}")
 
 
@@ -66,10 +68,10 @@ def _key(by: list[str]) -> Column:
 
 
 def _buckets(x: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From rows k, v, x: (k, v, x, c, b), the distinct values with counts and buckets, and (k, v, b, m, start, n), the buckets with rows in and before them."""
+    """From rows k, v, x, w: (k, v, x, c, b), the distinct values with counts and buckets, and (k, v, b, m, start, n), the buckets with rows in and before them."""
     number = F.when(~F.isnan("x"), F.col("x"))  # NaN is above every cut
-    cuts = x.groupBy("k", "v").agg(F.percentile_approx(number, F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(1000)).alias("cuts"), F.count("*").alias("n"))
-    d = x.groupBy("k", "v", "x").agg(F.count("*").alias("c")).join(cuts, ["k", "v"])
+    cuts = x.groupBy("k", "v").agg(F.percentile_approx(number, F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)]), F.lit(1000)).alias("cuts"), F.sum("w").alias("n"))
+    d = x.groupBy("k", "v", "x").agg(F.sum("w").alias("c")).join(cuts, ["k", "v"])
     d = d.select("k", "v", "x", "c", "n", F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda q: q < F.col("x")))).alias("b"))
     w = W.partitionBy("k", "v").orderBy("b")  # at most BUCKETS rows a group
     size = d.groupBy("k", "v", "n", "b").agg(F.sum("c").alias("m")).withColumn("start", F.sum("m").over(w) - F.col("m"))
@@ -92,15 +94,15 @@ def _place(p: float, rule: str) -> tuple[Column, Column, Column]:
     return low, F.least(low + 1, n - 1), h - low
 
 
-def order_stats(df: DataFrame, by: list[str], columns: list[str], ps: list[float], rule: str = "linear") -> DataFrame:
-    """(k, v, p0, p1, ...): exact percentiles by a rule (linear, nearest, np1) of each column v in each group k.
+def order_stats(df: DataFrame, by: list[str], columns: list[str], ps: list[float], rule: str = "linear", weight: Column | None = None) -> DataFrame:
+    """(k, v, p0, p1, ...): exact percentiles by a rule (linear, nearest, np1) of each column v in each group k; a weight counts a row so many times.
 
     No group is ever sorted, or hashed, in one task: repeated values are counted first, the
     distinct values of a group are cut into BUCKETS at approximate quantiles, and only the
     buckets that hold a wanted rank are ordered.
     """
     pair = F.explode(F.array(*[F.struct(F.lit(c).alias("v"), F.col(c).cast("double").alias("x")) for c in columns]))
-    x = df.select(_key(by).alias("k"), pair.alias("p")).select("k", "p.v", "p.x").filter("x is not null and not isnan(x)")
+    x = df.select(_key(by).alias("k"), (F.lit(1) if weight is None else weight).alias("w"), pair.alias("p")).select("k", "p.v", "p.x", "w").filter("x is not null and not isnan(x)")
     d, size = _buckets(x)
     low, high, share = zip(*[_place(p, rule) for p in ps], strict=True)
     wanted = F.exists(F.array(*low, *high), lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("m")))
@@ -113,17 +115,17 @@ def order_stats(df: DataFrame, by: list[str], columns: list[str], ps: list[float
 
 def ranks(df: DataFrame, by: list[str], name: str) -> DataFrame:
     """(k, x, r): the rank of each distinct value x in each group k, the average of its ties, from the counts of the buckets below and of the values below in its own."""
-    d, size = _buckets(df.select(_key(by).alias("k"), F.lit(name).alias("v"), F.col(name).cast("double").alias("x")).filter("x is not null"))
+    d, size = _buckets(df.select(_key(by).alias("k"), F.lit(name).alias("v"), F.col(name).cast("double").alias("x"), F.lit(1).alias("w")).filter("x is not null"))
     d = d.join(size.select("k", "v", "b", "start"), ["k", "v", "b"])
     hi = F.col("start") + F.sum("c").over(W.partitionBy("k", "v", "b").orderBy("x"))
     return d.select("k", "x", (hi - F.col("c") + (F.col("c") + 1) / 2).alias("r"))
 
 
-def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, str]], rule: str = "linear") -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, str]], rule: str = "linear", weight: Column | None = None) -> DataFrame:
     """(k, one column per name): ``wanted`` maps a name to (median, p1 to p99 or iqr, column)."""
     levels = lambda s: [0.25, 0.75] if s == "iqr" else [QUANTILES[s]]
     ps = sorted({p for s, _ in wanted.values() for p in levels(s)})
-    o = order_stats(df, by, sorted({c for _, c in wanted.values()}), ps, rule)
+    o = order_stats(df, by, sorted({c for _, c in wanted.values()}), ps, rule, weight)
     pick = lambda c, p: F.max(F.when(F.col("v") == c, F.col(f"p{ps.index(p)}")))
     cols = [(pick(c, 0.75) - pick(c, 0.25) if s == "iqr" else pick(c, QUANTILES[s])).alias(n) for n, (s, c) in wanted.items()]
     return o.groupBy("k").agg(*cols)
@@ -134,7 +136,7 @@ def is_quantile(stat: str) -> bool:
 
 
 def collapse(df: DataFrame, stats: dict[str, tuple[str, str]], by: list[str] = (), weight: str | None = None, where: Column | None = None, order: Column | None = None, rule: str = "linear") -> DataFrame:
-    """``stats``: new name to (statistic, column). A missing group key forms a group; without ``by`` one row. ``rule`` is that of percentiles."""
+    """``stats``: new name to (statistic, column). A missing group key forms a group; without ``by`` one row. ``rule`` is that of percentiles. A weight counts a row so many times in every statistic but count, min, max, first and last; rows without a positive weight are left out."""
     if where is not None:
         df = df.filter(where)
     w = None
@@ -146,7 +148,7 @@ def collapse(df: DataFrame, stats: dict[str, tuple[str, str]], by: list[str] = (
     if not wanted:
         return df.groupBy(*by).agg(*cols) if by else df.agg(*cols)
     base = df.groupBy(*by).agg(*(cols or [F.count("*").alias("__n")])) if by else df.agg(*(cols or [F.count("*").alias("__n")]))
-    out = base.withColumn("k", _key(by)).join(quantiles(df, by, wanted, rule), "k", "left")
+    out = base.withColumn("k", _key(by)).join(quantiles(df, by, wanted, rule, w), "k", "left")
     return out.select(*by, *stats)
 
 
@@ -172,10 +174,21 @@ def summarize(df: DataFrame, names: list[str], by: list[str] = (), weight: str |
         cols = [n.cast("bigint").alias("n"), (F.sum(w * v) / F.sum(w)).alias("mean"), F.sqrt(F.greatest(F.try_divide(ss, n - 1), F.lit(0.0))).alias("sd")]
     cols += [F.min(v).alias("min"), F.max(v).alias("max"), (F.sum(v) if weight is None else F.sum(F.col("__w") * v)).alias("sum")]
     if detail:
-        n = F.count(v)
         ps = (1, 5, 10, 25, 50, 75, 90, 95, 99)
-        cols += [F.var_samp(v).alias("variance"), (F.skewness(v) * F.pow(F.try_divide(n - 1, n), F.lit(1.5))).alias("skewness"), ((F.kurtosis(v) + 3) * F.pow(F.try_divide(n - 1, n), F.lit(2))).alias("kurtosis")]
-        q = order_stats(df, by, names, [p / 100 for p in ps]).select("k", F.col("v").alias("variable"), *[F.col(f"p{i}").alias(f"p{p}") for i, p in enumerate(ps)])
+        if weight is None:
+            n = F.count(v)
+            cols += [F.var_samp(v).alias("variance"), (F.skewness(v) * F.pow(F.try_divide(n - 1, n), F.lit(1.5))).alias("skewness"), ((F.kurtosis(v) + 3) * F.pow(F.try_divide(n - 1, n), F.lit(2))).alias("kurtosis")]
+        else:
+            m1, m2, m3, m4 = (F.sum(w * F.pow(v, F.lit(k))) / F.sum(w) for k in range(1, 5))
+            var = F.greatest(F.try_divide(ss, n - 1), F.lit(0.0))
+            third = m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1
+            fourth = m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1
+            cols += [var.alias("variance"), F.try_divide(third, F.pow(var, F.lit(1.5))).alias("skewness"), F.try_divide(fourth, var * var).alias("kurtosis")]
+        counted = None if weight is None else F.col(weight).cast("double")
+        if weight is not None and kind != "fweight":  # scaled to the rows of its group
+            df = df.join(df.groupBy(_key(by).alias("__k")).agg((F.count("*") / F.sum(weight)).alias("__s")), _key(by) == F.col("__k"))
+            counted = counted * F.col("__s")
+        q = order_stats(df, by, names, [p / 100 for p in ps], weight=counted).select("k", F.col("v").alias("variable"), *[F.col(f"p{i}").alias(f"p{p}") for i, p in enumerate(ps)])
         out = x.groupBy(*by, "variable").agg(*cols).withColumn("k", _key(by))
         return out.join(q, ["k", "variable"], "left").drop("k")
     return x.groupBy(*by, "variable").agg(*cols)
@@ -205,18 +218,20 @@ def tabulate(df: DataFrame, *names: str, weight: str | None = None, missing: boo
     return t.withColumn("percent", F.col("freq") * 100.0 / total)
 
 
-def tabstat(df: DataFrame, names: list[str], stats: list[str], by: str | None = None) -> DataFrame:
-    """One row per group and a total row (is_total = 1), columns <name>_<stat>."""
+def tabstat(df: DataFrame, names: list[str], stats: list[str], by: str | None = None, weight: str | None = None) -> DataFrame:
+    """One row per group and a total row (is_total = 1), columns <name>_<stat>; a weight counts a row so many times."""
+    w = None if weight is None else F.col(weight).cast("double")
+    df = df if weight is None else df.filter(F.col(weight) > 0)
     pairs = [(n, s) for n in names for s in stats]
-    cols = [statistic(s, F.col(n)).alias(f"{n}_{s}") for n, s in pairs if not is_quantile(s)]
+    cols = [statistic(s, F.col(n), w).alias(f"{n}_{s}") for n, s in pairs if not is_quantile(s)]
     ranks = {f"{n}_{s}": (s, n) for n, s in pairs if is_quantile(s)}
     order = [f"{n}_{s}" for n, s in pairs]
     if by is None:
-        return collapse(df, {f"{n}_{s}": (s, n) for n, s in pairs})
+        return collapse(df, {f"{n}_{s}": (s, n) for n, s in pairs}, weight=weight)
     base = df.rollup(by).agg(F.grouping(by).cast("int").alias("is_total"), *cols)
     if ranks:
         none = F.struct(F.lit(None).cast(dict(df.dtypes)[by]).alias(by))
-        q = quantiles(df, [by], ranks).withColumn("is_total", F.lit(0)).unionByName(quantiles(df, [], ranks).withColumn("k", none).withColumn("is_total", F.lit(1)))
+        q = quantiles(df, [by], ranks, weight=w).withColumn("is_total", F.lit(0)).unionByName(quantiles(df, [], ranks, weight=w).withColumn("k", none).withColumn("is_total", F.lit(1)))
         base = base.withColumn("k", F.struct(by)).join(q, ["k", "is_total"], "left")
     return base.select(by, "is_total", *order)
 
@@ -224,18 +239,23 @@ def tabstat(df: DataFrame, names: list[str], stats: list[str], by: str | None =
 def codebook(df: DataFrame, names: list[str]) -> DataFrame:
     """One row per variable: type, rows, missing, distinct, min, max, mean (numbers only)."""
     kinds = dict(df.dtypes)
-    aggs = []
+    rows = []
     for n in names:
         numeric = kinds[n] in ("double", "float", "int", "bigint", "smallint", "tinyint") or kinds[n].startswith("decimal")
-        c = F.col(n)
-        gone = c.isNull() if numeric else (c.isNull() | (c.cast("string") == ""))
-        one = [F.lit(n).alias("variable"), F.lit("numeric" if numeric else "string").alias("kind"), F.count("*").alias("n"), F.count_if(gone).alias("n_missing"), F.count_distinct(F.when(~gone, c)).alias("n_distinct")]
-        one += [(f(c.cast("double")) if numeric else F.lit(None).cast("double")).alias(a) for f, a in ((F.min, "min"), (F.max, "max"), (F.avg, "mean"))]
-        aggs.append(df.agg(*one))
-    out = aggs[0]
-    for a in aggs[1:]:
-        out = out.unionByName(a)
-    return out
+        text, x = F.col(n).cast("string"), F.col(n).cast("double") if numeric else F.lit(None).cast("double")
+        rows.append(F.struct(F.lit(n).alias("variable"), F.lit("numeric" if numeric else "string").alias("kind"), (text if numeric else F.when(text != "", text)).alias("v"), x.alias("x")))
+    # repeated values are counted first, so one scan and two aggregates serve all variables
+    per = df.select(F.inline(F.array(*rows))).groupBy("variable", "kind", "v", "x").agg(F.count("*").alias("c"))
+    mean = F.try_divide(F.sum(F.col("x") * F.col("c")), F.sum(F.when(F.col("x").isNotNull(), F.col("c"))))
+    return per.groupBy("variable", "kind").agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0)).alias("n_missing"), F.count("v").alias("n_distinct"), F.min("x").alias("min"), F.max("x").alias("max"), mean.alias("mean"))
+
+
+def describe(df: DataFrame) -> DataFrame:
+    """One row per column in order: position, name, type (double or str as shown to users), label."""
+    from pyspark.sql import types as T
+
+    rows = [(i, f.name, "str" if isinstance(f.dataType, T.StringType) else f.dataType.simpleString(), (f.metadata or {}).get("label")) for i, f in enumerate(df.schema, 1)]
+    return df.sparkSession.createDataFrame(rows, "position int, name string, type string, label string")
 
 
 def xtdescribe(df: DataFrame, panel: str, time: str) -> DataFrame:

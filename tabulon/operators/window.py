@@ -7,6 +7,9 @@ counts, of which there are as many as partitions.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import re
 from math import comb
 
 from pyspark.sql import Column, DataFrame
@@ -212,23 +215,39 @@ class Panel:
         return x - self.L(x, k)
 
     def expand(self, spec: str) -> dict[str, Column]:
-        """Columns of an operator list such as ``L(1/3).x`` or ``D.x``, named ``L2.x``."""
-        import re
-
-        m = re.fullmatch(r"([LFDSlfds])(\d*|\(([^)]*)\))\.(\w+)", spec)
+        """Columns of an operator list, by name: ``D.x``, ``L(1/3).x``, ``L.(x y)``, and chains such as ``L(1/2)D.x``, every combination of which is a column."""
+        m = re.fullmatch(r"((?:[LFDSlfds](?:\d+|\([^)]*\))?)+)\.(\w+|\([\w ]+\))", spec)
         if not m:
             raise DataError(198, f"bad operator list {spec}")
-        op, x = m[1].upper(), m[4]
+        ops = [(op.upper(), self.orders(ks)) for op, ks in re.findall(r"([A-Za-z])(\d+|\([^)]*\))?", m[1])]
+        out: dict[str, Column] = {}
+        for x in m[2].strip("()").split():
+            for ks in itertools.product(*[k for _, k in ops]):
+                name, shifts = "", {0: 1}  # a chain is a sum of lags with whole weights
+                for (op, _), k in zip(ops, ks, strict=True):
+                    name += f"{op}{k if k > 1 else ''}" if k else ""
+                    own = {"L": {k: 1}, "F": {-k: 1}, "S": {0: 1, k: -1} if k else {0: 1}, "D": {i: (-1) ** i * comb(k, i) for i in range(k + 1)}}[op]
+                    new: dict[int, int] = {}
+                    for i, a in shifts.items():
+                        for j, b in own.items():
+                            new[i + j] = new.get(i + j, 0) + a * b
+                    shifts = new
+                parts = [self.L(F.col(x), i) * a if a != 1 else self.L(F.col(x), i) for i, a in sorted(shifts.items())]
+                out[f"{name}.{x}" if name else x] = functools.reduce(lambda p, q: p + q, parts)
+        return out
+
+    @staticmethod
+    def orders(text: str) -> list[int]:
+        """The orders of one operator: none is 1; in brackets single ones, a/b and a(step)b."""
         ks: list[int] = []
-        for part in (m[3] if m[3] is not None else m[2] or "1").split():
+        for part in text.strip("()").split() if text else ["1"]:
             if r := re.fullmatch(r"(\d+)/(\d+)", part):
                 ks += range(int(r[1]), int(r[2]) + 1)
             elif r := re.fullmatch(r"(\d+)\((\d+)\)(\d+)", part):
                 ks += range(int(r[1]), int(r[3]) + 1, int(r[2]))
             else:
                 ks.append(int(part))
-        f = getattr(self, op)
-        return {x if k == 0 else f"{op}{k if k > 1 else ''}.{x}": f(F.col(x), k) if k else F.col(x) for k in ks}
+        return ks
 
 
 def check_panel(df: DataFrame, time: str, panel: str | None = None) -> DataFrame:

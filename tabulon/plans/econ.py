@@ -128,7 +128,7 @@ def period_convert(spark, d):
     return x.select("o_orderkey", D.mofd("t").alias("mm"), D.qofd("t").alias("qq"), D.dofm(D.mofd("t")).alias("dm"), D.dofq(D.qofd("t")).alias("dq"), D.mdy(D.month("t"), D.day("t"), D.year("t")).alias("rebuilt"), D.quarterly(text).alias("parsed"))
 
 
-@query("select event_id, round(case when value - 50 > 0 then ln(value - 50) end, 6) as l, round(case when value - 50 >= 0 then sqrt(value - 50) end, 6) as r, trunc(value - 50) + 0.0 as i, round(fmod(value, 7), 6) as md, round(value / nullif(event_id % 5, 0), 6) as dv, sign(value - 50) * floor(abs(value - 50) + 0.5) as rd, round(exp(value / 100), 6) as e, greatest(value, 50) as mx, least(value, 50) as mn from events")
+@query("select event_id, round(case when value - 50 > 0 then ln(value - 50) end, 6) as l, round(case when value - 50 >= 0 then sqrt(value - 50) end, 6) as r, trunc(value - 50) + 0.0 as i, round(fmod(value, 7), 6) as md, round(value / nullif(event_id % 5, 0), 6) as dv, round(value - 50) + 0.0 as rd, round(exp(value / 100), 6) as e, greatest(value, 50) as mx, least(value, 50) as mn from events")
 def math_funcs(spark, d):
     x = table(spark, d, "events").withColumn("c", F.col("value") - 50)
     return x.select("event_id", F.round(N.ln("c"), 6).alias("l"), F.round(N.sqrt("c"), 6).alias("r"), (N.trunc_int("c") + 0.0).alias("i"), F.round(N.mod("value", F.lit(7.0)), 6).alias("md"), F.round(N.div("value", F.col("event_id") % 5), 6).alias("dv"), N.round_to("c").alias("rd"), F.round(N.exp(F.col("value") / 100), 6).alias("e"), M.max_of("value", F.lit(50.0)).alias("mx"), M.min_of("value", F.lit(50.0)).alias("mn"))
@@ -541,6 +541,102 @@ def box_stats(spark, d):
     return x.withColumns({c: F.round(c, 4) for c in ("q1", "median", "q3")})
 
 
+@query("""select event_id, round(sin(value), 6) as s, round(cos(value), 6) as c, round(tan(value / 100), 6) as t, round(sinh(value / 50), 6) as sh, round(cosh(value / 50), 6) as ch, round(tanh(value / 50), 6) as th,
+round(atan(value), 6) as at, round(atan2(value - 50, value), 6) as at2, round(case when abs(value / 50 - 1) <= 1 then asin(value / 50 - 1) end, 6) as asn, round(case when abs(value / 50 - 1) <= 1 then acos(value / 50 - 1) end, 6) as acs, round(case when value > 50 then log10(value - 50) end, 6) as lg,
+round(value) as r1, round(value / 0.25) * 0.25 as r4 from events""")
+def trig_funcs(spark, d):
+    x = table(spark, d, "events")
+    v, u = F.col("value"), F.col("value") / 50 - 1
+    six = {"s": N.sin(v), "c": N.cos(v), "t": N.tan(v / 100), "sh": N.sinh(v / 50), "ch": N.cosh(v / 50), "th": N.tanh(v / 50), "at": N.atan(v), "at2": N.atan2(v - 50, v), "asn": N.asin(u), "acs": N.acos(u), "lg": N.log10(v - 50)}
+    return x.select("event_id", *[F.round(c, 6).alias(n) for n, c in six.items()], N.round_to(v).alias("r1"), N.round_to(v, 0.25).alias("r4"))
+
+
+@query(r"""select p_partkey, array_to_string(list_transform(regexp_extract_all(lower(p_type || '-' || p_name), '[^ -]*[ -]?'), lambda w: upper(w[1]) || w[2:]), '') as pr, ltrim(p_name || ' ', ' ') as lt, rtrim('  ' || p_name || '  ', ' ') as rt,
+regexp_replace(p_type || '   x  ' || p_name, ' +', ' ', 'g') as it, case when contains(p_name, 'a') then length(p_name) - instr(reverse(p_name), 'a') + 1 else 0 end as rp, regexp_replace(p_name, '(^|[^A-Za-z0-9_])' || string_split(p_name, ' ')[1] || '($|[^A-Za-z0-9_])', '\1\2', 'g') = p_name as whole,
+chr(65 + cast(p_size % 26 as int)) as ch, cast(p_retailprice as double) as num, printf('%9.2f', p_retailprice) as f2, printf('%.3e', p_retailprice) as e3, printf('%8.4g', p_retailprice) as g4, printf('%-8.1fx', p_retailprice) as lf, printf('%.0f', cast(p_size as double)) as plain,
+replace(' ' || p_type || ' ', ' ' || p_type || ' ', ' # ') as sw from part""")
+def string_more(spark, d):
+    x = table(spark, d, "part")
+    first = S.word("p_name", 1)
+    whole = F.regexp_replace("p_name", F.concat(F.lit("(^|[^A-Za-z0-9_])"), first, F.lit("($|[^A-Za-z0-9_])")), F.lit("$1$2")) == F.col("p_name")
+    pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    return x.select(
+        "p_partkey", S.proper(F.concat("p_type", F.lit("-"), "p_name")).alias("pr"), S.ltrim(F.concat("p_name", F.lit(" "))).alias("lt"), S.rtrim(F.concat(F.lit("  "), "p_name", F.lit("  "))).alias("rt"),
+        S.itrim(F.concat("p_type", F.lit("   x  "), "p_name")).alias("it"), S.strrpos("p_name", "a").alias("rp"), whole.alias("whole"), S.char(65 + F.col("p_size") % 26).alias("ch"), S.real(F.concat(F.lit(" "), F.col("p_retailprice").cast("string"))).alias("num"),
+        S.strofreal("p_retailprice", "%9.2f").alias("f2"), S.strofreal("p_retailprice", "%.3e").alias("e3"), S.strofreal("p_retailprice", "%8.4g").alias("g4"), F.concat(S.strofreal("p_retailprice", "%-8.1f"), F.lit("x")).alias("lf"), S.string("p_size").alias("plain"),
+        F.replace(pad(F.col("p_type")), pad(F.col("p_type")), F.lit(" # ")).alias("sw"),
+    )
+
+
+@query(r"select doc_id, regexp_replace(text, '\bder\b', 'DER', 'g') as t from (select doc_id, regexp_replace(replace(text, e'\n', ' '), '[^A-Za-z0-9_ .,]', '', 'g') as text from documents)")
+def string_subinword(spark, d):
+    x = table(spark, d, "documents").select("doc_id", F.regexp_replace(F.replace("text", F.lit("\n"), F.lit(" ")), "[^A-Za-z0-9_ .,]", "").alias("text"))
+    return x.select("doc_id", F.when(F.col("text").isNotNull(), S.subinword("text", "der", "DER")).alias("t"))
+
+
+_Y, _M, _DD = f"year({_DAY})", f"month({_DAY})", f"day({_DAY})"
+_SINCE = "cast(date_diff('day', date '1960-01-01', {}) as double)"
+_HALF = f"(case when {_M} <= 6 then 1 else 2 end)"
+_WEEK = f"least((dayofyear({_DAY}) - 1) // 7 + 1, 52)"
+
+
+@query(f"""select o_orderkey, cast(({_Y} - 1960) * 12 + {_M} - 1 as double) as ym, cast(({_Y} - 1960) * 4 + quarter({_DAY}) - 1 as double) as yq, cast(({_Y} - 1960) * 2 + {_HALF} - 1 as double) as yh, cast(({_Y} - 1960) * 52 + {_WEEK} - 1 as double) as yw,
+cast({_HALF} as double) as half, cast(({_Y} - 1960) * 2 + {_HALF} - 1 as double) as hofd, cast(({_Y} - 1960) * 52 + {_WEEK} - 1 as double) as wofd, {_SINCE.format(f"make_date({_Y}, case when {_M} <= 6 then 1 else 7 end, 1)")} as dofh, {_SINCE.format(f"make_date({_Y}, 1, 1)")} as dofy, cast({_Y} as double) as yofd,
+cast(({_Y} - 1960) * 12 + {_M} - 1 as double) as monthly, cast(({_Y} - 1960) * 2 + {_HALF} - 1 as double) as halfyearly, cast(({_Y} - 1960) * 52 + {_WEEK} - 1 as double) as weekly, cast({_Y} as double) as yearly, {_SINCE.format(_DAY)} as daily, {_SINCE.format(_DAY)} as daily_name,
+{_SINCE.format(_DAY)} >= {_SINCE.format("date '1997-03-05'")} as since_day, ({_Y} - 1960) * 12 + {_M} - 1 < (1997 - 1960) * 12 + 2 as before_month, ({_Y} - 1960) * 4 + quarter({_DAY}) - 1 = (1997 - 1960) * 4 + 1 as in_quarter from orders""")
+def date_more(spark, d):
+    x = table(spark, d, "orders").withColumn("t", D.days("o_orderdate"))
+    y, m, q = D.year("t"), D.month("t"), D.quarter("t")
+    text = lambda sep, c: F.concat_ws(sep, y.cast("int").cast("string"), c.cast("int").cast("string"))
+    day = F.col("o_orderdate").cast("date")
+    return x.select(
+        "o_orderkey", D.ym(y, m).alias("ym"), D.yq(y, q).alias("yq"), D.yh(y, D.halfyear("t")).alias("yh"), D.yw(y, D.week("t")).alias("yw"), D.halfyear("t").alias("half"), D.hofd("t").alias("hofd"), D.wofd("t").alias("wofd"), D.dofh(D.hofd("t")).alias("dofh"), D.dofy(y).alias("dofy"), D.yofd("t").alias("yofd"),
+        D.monthly(text("m", m)).alias("monthly"), D.halfyearly(text("-H", D.halfyear("t"))).alias("halfyearly"), D.weekly(text("w", D.week("t"))).alias("weekly"), D.yearly(y.cast("int").cast("string")).alias("yearly"), D.daily(F.date_format(day, "d/M/yyyy"), "DMY").alias("daily"), D.daily(F.date_format(day, "dMMMyyyy"), "DMY").alias("daily_name"),
+        (F.col("t") >= D.td("5mar1997")).alias("since_day"), (D.mofd("t") < D.tm("1997m3")).alias("before_month"), (D.qofd("t") == D.tq("1997q2")).alias("in_quarter"),
+    )
+
+
+_PHI = "(0.5 + sign({0}) * exp(-({0}) * ({0}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda k: case when abs({0}) > 0 then exp((2 * k + 1) * ln(abs({0})) - (lgamma(2.0 * k + 2) - k * ln(2.0) - lgamma(k + 1.0))) else 0 end)))"
+
+
+@query(f"""select c_custkey, round({_PHI.format("z")}, 8) as p, round(ln({_PHI.format("z")}), 7) as lp, round(z, 7) as z, round(0.5 - 0.5 * z / sqrt(10 + z * z) * (1 + 0.5 * c + 0.375 * c * c + 0.3125 * c * c * c + 0.2734375 * c * c * c * c), 8) as t, round(pow(1 - exp(-abs(z) / 2), 1), 8) as x2, round(exp(-abs(z) / 2) * (1 + abs(z) / 2), 8) as x4,
+round(pow(1 + 2 * abs(z) / 9, -4.5), 8) as f, round(1 - pow(1 + 2 * abs(z) / 9, -4.5), 8) as fc, round((1 - 2 * q) / sqrt(2 * q * (1 - q)), 6) as it from (select *, c_acctbal / 5000 as z, 10 / (10 + c_acctbal / 5000 * c_acctbal / 5000) as c, (c_custkey % 97 + 1) / 100.0 as q from customer)""")
+def distribution_closed(spark, d):
+    """The distributions at arguments for which they have closed forms or a plain series."""
+    z = F.col("c_acctbal") / 5000
+    two, nine = F.lit(2.0), F.lit(9.0)
+    e = lambda c, n, k=8: F.round(c, k).alias(n)
+    return table(spark, d, "customer").select(
+        "c_custkey", e(N.normal(z), "p"), e(N.lnnormal(z), "lp", 7), e(N.invnormal(N.normal(z)), "z", 7), e(N.ttail(F.lit(10.0), z), "t"), e(N.chi2(two, F.abs(z)), "x2"), e(N.chi2tail(F.lit(4.0), F.abs(z)), "x4"), e(N.ftail(two, nine, F.abs(z)), "f"), e(N.fcdf(two, nine, F.abs(z)), "fc"),
+        e(N.invttail(two, (F.col("c_custkey") % 97 + 1) / 100.0), "it", 6),
+    )
+
+
+_COPIES = "(select l_returnflag, l_extendedprice as x from lineitem, range(cast(l_quantity as bigint)))"
+
+
+@query(f"""select l_returnflag, round(avg(x), 4) as mean, round(stddev_samp(x), 4) as sd, round(quantile_cont(x, 0.5), 4) as med, round(quantile_cont(x, 0.9), 4) as p90, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 4) as iqr from {_COPIES} group by 1""")
+def collapse_weighted_percentiles(spark, d):
+    """A weight counts a row so many times, in percentiles too."""
+    x = "l_extendedprice"
+    return rounded(A.collapse(table(spark, d, "lineitem"), {"mean": ("mean", x), "sd": ("sd", x), "med": ("median", x), "p90": ("p90", x), "iqr": ("iqr", x)}, ["l_returnflag"], weight="l_quantity"))
+
+
+@query(f"""with m as (select l_returnflag, avg(x) as mu, stddev_samp(x) as sd from {_COPIES} group by 1)
+select l_returnflag, 'l_extendedprice' as variable, count(*) as n, round(any_value(sd * sd), 2) as variance, round(avg(power(x - mu, 3)) / power(any_value(sd), 3), 5) as skewness, round(avg(power(x - mu, 4)) / power(any_value(sd), 4), 5) as kurtosis, round(quantile_cont(x, 0.05), 4) as p5, round(quantile_cont(x, 0.5), 4) as p50 from {_COPIES} join m using (l_returnflag) group by 1""")
+def summarize_weighted_detail(spark, d):
+    x = A.summarize(table(spark, d, "lineitem"), ["l_extendedprice"], by=["l_returnflag"], weight="l_quantity", kind="fweight", detail=True)
+    return x.select("l_returnflag", "variable", "n", F.round("variance", 2).alias("variance"), F.round("skewness", 5).alias("skewness"), F.round("kurtosis", 5).alias("kurtosis"), F.round("p5", 4).alias("p5"), F.round("p50", 4).alias("p50"))
+
+
+@query(f"select u.user_id, u.day, l1.n as \"L.n\", l1.x as \"L.x\", l1.n - l2.n as \"LD.n\", l2.n - l3.n as \"L2D.n\" from {USER_DAYS} u {_ts(1)} {_ts(2)} {_ts(3)}")
+def ts_operator_chain(spark, d):
+    """Lists over several variables and every combination of a chain of operators."""
+    p = WN.Panel("day", "user_id")
+    cols = p.expand("L.(n x)") | p.expand("L(1/2)D.n")
+    return user_days(spark, d).select("user_id", "day", *[c.alias(n) for n, c in cols.items()]).withColumn("L.x", F.col("`L.x`"))
+
+
 @query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def events_hourly(spark, d):
     """The batch form of the tumbling window that ``tabulon.streaming`` keeps over a stream."""
