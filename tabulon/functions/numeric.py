@@ -247,10 +247,17 @@ def inv_phi(p):
     return np.where(ok, np.where(p < 0.5, z, -z), np.nan)
 
 
+def _masked(f, *batch: pd.Series) -> pd.Series:
+    """f of a batch; missing where an argument is."""
+    a = [s.to_numpy(float, na_value=np.nan) for s in batch]
+    gone = np.logical_or.reduce([np.isnan(v) for v in a])
+    return pd.Series(np.where(gone, np.nan, f(*(np.where(gone, 0.5, v) for v in a))))
+
+
 def _udf1(f):
     @F.pandas_udf("double")
     def run(x: pd.Series) -> pd.Series:
-        return pd.Series(f(x.to_numpy(float, na_value=np.nan)))
+        return _masked(f, x)
 
     return lambda x: finite(run(col(x).cast("double")))
 
@@ -258,7 +265,7 @@ def _udf1(f):
 def _udf2(f):
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(f(a.to_numpy(float, na_value=np.nan), b.to_numpy(float, na_value=np.nan)))
+        return _masked(f, a, b)
 
     return lambda a, b: finite(run(col(a).cast("double"), col(b).cast("double")))
 
@@ -266,7 +273,7 @@ def _udf2(f):
 def _udf3(f):
     @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series(f(*(s.to_numpy(float, na_value=np.nan) for s in (a, b, c))))
+        return _masked(f, a, b, c)
 
     return lambda a, b, c: finite(run(*(col(v).cast("double") for v in (a, b, c))))
 

@@ -216,10 +216,11 @@ class Panel:
 
     def expand(self, spec: str) -> dict[str, Column]:
         """Columns of an operator list, by name: ``D.x``, ``L(1/3).x``, ``L.(x y)``, and chains such as ``L(1/2)D.x``, every combination of which is a column."""
-        m = re.fullmatch(r"((?:[LFDSlfds](?:\d+|\([^)]*\))?)+)\.(\w+|\([\w ]+\))", spec)
+        held = r"\d+|\((?:[^()]|\(\d+\))*\)"
+        m = re.fullmatch(rf"((?:[LFDSlfds](?:{held})?)+)\.(\w+|\([\w ]+\))", spec)
         if not m:
             raise DataError(198, f"bad operator list {spec}")
-        ops = [(op.upper(), self.orders(ks)) for op, ks in re.findall(r"([A-Za-z])(\d+|\([^)]*\))?", m[1])]
+        ops = [(op.upper(), self.orders(ks)) for op, ks in re.findall(rf"([A-Za-z])({held})?", m[1])]
         out: dict[str, Column] = {}
         for x in m[2].strip("()").split():
             for ks in itertools.product(*[k for _, k in ops]):
@@ -240,7 +241,7 @@ class Panel:
     def orders(text: str) -> list[int]:
         """The orders of one operator: none is 1; in brackets single ones, a/b and a(step)b."""
         ks: list[int] = []
-        for part in text.strip("()").split() if text else ["1"]:
+        for part in text.removeprefix("(").removesuffix(")").split() if text else ["1"]:
             if r := re.fullmatch(r"(\d+)/(\d+)", part):
                 ks += range(int(r[1]), int(r[2]) + 1)
             elif r := re.fullmatch(r"(\d+)\((\d+)\)(\d+)", part):

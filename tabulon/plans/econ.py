@@ -109,7 +109,7 @@ def regex_funcs(spark, d):
 def text_columns(spark, d):
     x = table(spark, d, "documents")
     name = S.strtoname("case_no")
-    return x.select("doc_id", S.lower(S.trim("court")).alias("c"), F.when(name.startswith("_"), F.substring(name, F.lit(2), F.lit(40))).otherwise(name).alias("nm"), S.concat("lang", F.lit(":"), "source").alias("both"), (F.col("n_chars") > 1000).alias("long"))
+    return x.select("doc_id", S.lower(S.trim("court")).alias("c"), F.when(name.startswith("_"), F.substring(name, F.lit(2), F.length(name))).otherwise(name).alias("nm"), S.concat("lang", F.lit(":"), "source").alias("both"), (F.col("n_chars") > 1000).alias("long"))
 
 
 _DAY = "cast(o_orderdate as date)"

@@ -94,6 +94,8 @@ class Ledger:
 W_, H_, PAD = 640, 420, 48
 #: Points beyond which a chart asks for aggregation first.
 MAX_POINTS = 50_000
+#: Boxes that a chart can show.
+MAX_BOXES = 200
 
 
 def _scale(lo: float, hi: float, a: float, b: float):
@@ -143,7 +145,9 @@ def histogram(bins: DataFrame, title: str = "") -> str:
 
 def boxes(stats: DataFrame, over: str, title: str = "") -> str:
     """Boxes and whiskers of ``box_stats``."""
-    rows = stats.orderBy(over).limit(200).collect()
+    rows = stats.orderBy(over).limit(MAX_BOXES + 1).collect()
+    if len(rows) > MAX_BOXES:
+        raise ValueError(f"more than {MAX_BOXES} boxes do not fit a chart; keep fewer groups")
     if not rows:
         return _frame("", title)
     sy = _scale(min(r["lower_adjacent"] for r in rows), max(r["upper_adjacent"] for r in rows), H_ - PAD - 8, PAD + 8)

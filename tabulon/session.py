@@ -18,6 +18,7 @@ def local_session(cores: str = "8", **conf: str) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # checkpoints go when nothing refers to them
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for k, v in conf.items():
@@ -35,12 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset
-    (tests) a folder of our own is used. Never a local checkpoint: executors may be lost.
+    The folder is the cluster's ``spark.checkpoint.dir``; only in local mode (tests), where
+    that is unset, a folder of our own is used, for on a cluster executors would not share it.
+    Never a local checkpoint: executors may be lost.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabulon-ckpt-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tabulon-ckpt-"))
     return df.checkpoint()
 
 

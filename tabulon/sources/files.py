@@ -11,13 +11,18 @@ import io
 import os
 import re
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulon.operators.prep import DataError, label
 
+#: Files up to which a list of them, one short row each, is broadcast.
+MAX_FILES = 100_000
 #: Rows beyond which formats of a single process are refused.
 SINGLE_PROCESS_ROWS = 2_000_000
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
@@ -55,28 +60,83 @@ def typed(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.withColumns(new)
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, case: str = "lower", rows: tuple[int, int | None] | None = None, cols: tuple[int, int | None] | None = None, infer: bool = True) -> DataFrame:
-    """RFC 4180 text with quoted line breaks; ``rows`` and ``cols`` cut a 1-based rectangle whose first row is the header."""
-    raw = spark.read.csv(path, sep=delimiter, header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", inferSchema=False)
-    first = raw.columns[0]
-    raw = raw.withColumn(first, F.regexp_replace(first, "^﻿", ""))
+def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True, case: str = "lower", rows: tuple[int, int | None] | None = None, cols: tuple[int, int | None] | None = None, infer: bool = True, multiline: bool | None = None) -> DataFrame:
+    """RFC 4180 text; ``rows`` and ``cols`` cut a 1-based rectangle of every file, whose first row is the header.
+
+    Lines are read as they stand, blank ones included, and numbered within their file; cells
+    are split after the cut, so no line above it decides the number of columns. Of several
+    files each gives up its own header; the names are those of the first file, and cells beyond
+    them become v<position>. Files are split among tasks, unless a line with an odd number of
+    quotes shows (or ``multiline`` says) that quoted cells hold line breaks: then a file is one
+    task, and of at most 2 GB.
+    """
     lo, hi = rows or (1, None)
-    names = raw.columns
-    if rows or header:
-        at = F.monotonically_increasing_id()  # a multi-line file is one partition per file, so this counts its rows
-        raw = raw.withColumn("__i", at + 1)
-        head = raw.filter(F.col("__i") == lo).drop("__i").first() if header else None
-        keep = F.col("__i") >= lo + (1 if header else 0)
-        if hi is not None:
-            keep = keep & (F.col("__i") <= hi)
-        raw = raw.filter(keep).drop("__i")
-        if head is not None:
-            names = legal_names(list(head), case)
-    raw = raw.toDF(*(names if header else [f"v{i + 1}" for i in range(len(names))]))
+    if multiline is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multiline = not spark.read.option("lineSep", "\n").text(path).filter(quotes % 2 == 1).isEmpty()
+    lines = _records(spark, path, multiline)
+    if rows is None and not multiline:  # no line is lost to the cut, so the header is the first line of each file and needs no numbers
+        lines = lines.withColumn("n", F.when(F.col("start"), 1).otherwise(2))
+    else:
+        lines = lines if multiline else _numbered(lines)
+    lines = lines.filter(F.col("n") >= lo)
+    if hi is not None:
+        lines = lines.filter(F.col("n") <= hi)
+    d = re.escape(delimiter)
+    cell = rf'{d}((?:"[^"]*+(?:""[^"]*+)*+"|[^"{d}])*+)'
+    raw = F.regexp_extract_all(F.concat(F.lit(delimiter), "line"), F.lit(cell), F.lit(1))
+    inner = lambda x: F.when(x.startswith('"') & x.endswith('"') & (F.length(x) > 1), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+    table = lines.select("file", "n", F.transform(raw, inner).alias("cells")).filter((F.size("cells") > 1) | (F.get("cells", F.lit(0)) != ""))
     if cols:
-        a, b = cols
-        raw = raw.select(*raw.columns[a - 1 : b])
-    return typed(raw) if infer else raw
+        first, last = cols
+        table = table.withColumn("cells", F.slice("cells", F.lit(first), F.greatest(F.lit(0), F.size("cells") - (first - 1)) if last is None else F.lit(last - first + 1)))
+    head = table.filter(F.col("n") == lo).orderBy("file").first() if header else None
+    body = table.filter(F.col("n") > lo) if header else table
+    width = max(body.agg(F.max(F.size("cells"))).first()[0] or 0, len(head["cells"]) if head else 0)
+    cells = (list(head["cells"]) if head else []) + [None] * width
+    names = legal_names(cells[:width], case) if header else [f"v{i + 1}" for i in range(width)]
+    raw = body.select(*[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)]) if width else body.select()
+    return typed(raw) if infer and width else raw
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Lines with n, their number in their file from 1: counted within each split, after the lines of the splits before it."""
+    lines = lines.withColumn("block", F.col("at.block"))
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("m"))  # one row per split
+    before = sizes.select("file", "block", (F.sum("m").over(W.partitionBy("file").orderBy("block")) - F.col("m")).alias("before"))
+    return lines.join(before, ["file", "block"]).withColumn("n", F.col("before") + F.row_number().over(W.partitionBy("file", "block").orderBy("at")))
+
+
+def _records(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
+    """(file, at, start, line) of lines, at ascending within a file and start marking its first; with ``multiline`` (file, n, line) of records, a line break inside quotes not ending one."""
+    if not multiline:
+        # one partition per file split; the place of a line is its split's start and its order there
+        t = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+        t = t.withColumn("at", F.struct("block", "id"))
+        first = t.groupBy("file").agg(F.min("at").alias("first"))
+        t = t.join(F.broadcast(first) if first.limit(MAX_FILES + 1).count() <= MAX_FILES else first, "file").withColumn("start", F.col("at") == F.col("first"))
+        return t.select("file", "at", "start", F.when(F.col("start"), F.regexp_replace("line", "^﻿", "")).otherwise(F.col("line")).alias("line"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                held, open_, n, out = [], False, 0, []
+                for line in io.TextIOWrapper(io.BytesIO(data.as_buffer()), "utf-8-sig", newline="\n"):
+                    held.append(line)
+                    open_ ^= line.count('"') % 2 == 1
+                    if not open_:
+                        n += 1
+                        out.append((file, n, "".join(held).removesuffix("\n").removesuffix("\r")))
+                        held = []
+                    if len(out) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["file", "n", "line"])
+                        out = []
+                if held:
+                    out.append((file, n + 1, "".join(held)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["file", "n", "line"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(work, "file string, n bigint, line string")
 
 
 def write_delimited(df: DataFrame, path: str, delimiter: str = ",", replace: bool = False) -> None:
@@ -157,7 +217,8 @@ def write_dta(df: DataFrame, path: str, replace: bool = False) -> None:
     p.to_stata(path, write_index=False, version=118, variable_labels={c: m["label"] for c, m in meta.items() if "label" in m}, value_labels=labels)
 
 
-def _xlsx_rows(data: bytes, sheet: str | int) -> list[dict[int, str]]:
+def _xlsx_rows(data: bytes, sheet: str | int) -> dict[int, dict[int, str]]:
+    """Filled rows by their number from 0, each its cells by column."""
     ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
     rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -171,34 +232,41 @@ def _xlsx_rows(data: bytes, sheet: str | int) -> list[dict[int, str]]:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in s.iter(f"{{{ns['m']}}}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        rows = []
+        rows: dict[int, dict[int, str]] = {}
         for r in ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{{{ns['m']}}}row"):
             cells = {}
             for c in r:
                 v, kind = c.find("m:v", ns), c.get("t")
                 text = "".join(t.text or "" for t in c.iter(f"{{{ns['m']}}}t")) if kind == "inlineStr" else "" if v is None else v.text or ""
                 cells[cell_at(c.get("r"))[1]] = shared[int(text)] if kind == "s" and text else text
-            rows.append(cells)
+            rows[int(r.get("r") or len(rows) + 1) - 1] = cells
         return rows
 
 
-def _ods_rows(data: bytes, sheet: str | int) -> list[dict[int, str]]:
+def _ods_rows(data: bytes, sheet: str | int) -> dict[int, dict[int, str]]:
+    """Filled rows by their number from 0, each its cells by column; repeats and covered cells count in full."""
     t, o, x = ("{urn:oasis:names:tc:opendocument:xmlns:%s:1.0}" % k for k in ("table", "office", "text"))
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         tables = list(ElementTree.fromstring(z.read("content.xml")).iter(f"{t}table"))
     one = tables[sheet] if isinstance(sheet, int) else next((s for s in tables if s.get(f"{t}name") == sheet), None)
     if one is None:
         raise DataError(601, f"no sheet {sheet}")
-    rows = []
+    rows: dict[int, dict[int, str]] = {}
+    row = 0
     for r in one.iter(f"{t}table-row"):
         cells, at = {}, 0
-        for c in r.findall(f"{t}table-cell"):
+        for c in r:
+            if c.tag not in (f"{t}table-cell", f"{t}covered-table-cell"):
+                continue
             again = int(c.get(f"{t}number-columns-repeated", "1"))
             value = c.get(f"{o}value") or "\n".join("".join(p.itertext()) for p in c.findall(f"{x}p"))
             if value:
-                cells |= {at + k: value for k in range(min(again, 1_000))}
+                cells |= {at + k: value for k in range(again)}
             at += again
-        rows += [cells] * min(int(r.get(f"{t}number-rows-repeated", "1")), 1 if not cells else 1_000_000)
+        again = int(r.get(f"{t}number-rows-repeated", "1"))
+        if cells:
+            rows |= {row + k: cells for k in range(again)}
+        row += again
     return rows
 
 
@@ -212,17 +280,18 @@ def cell_at(name: str) -> tuple[int, int]:
 
 
 def read_workbook(spark: SparkSession, path: str, sheet: str | int = 0, cellrange: str | None = None, firstrow: bool = True, case: str = "preserve") -> DataFrame:
-    """One sheet of an .xlsx or .ods workbook, a format that holds about a million rows at most."""
+    """One sheet of an .xlsx or .ods workbook, read by one process: the format holds about a million rows at most."""
     with open(path, "rb") as f:
         data = f.read()
     rows = (_ods_rows if path.lower().endswith(".ods") else _xlsx_rows)(data, sheet)
-    (r0, c0), (r1, c1) = (0, 0), (len(rows) - 1, max((max(r) for r in rows if r), default=0))
+    (r0, c0), (r1, c1) = (0, 0), (max(rows, default=-1), max((max(r) for r in rows.values() if r), default=0))
     if cellrange:
         ends = [cell_at(e) for e in cellrange.split(":")]
         r0, c0 = ends[0]
         if len(ends) == 2:
             r1, c1 = ends[1]
-    grid = [[r.get(c, "") for c in range(c0, c1 + 1)] for r in rows[r0 : r1 + 1]]
+    r1 = min(r1, max(rows, default=-1))
+    grid = [[rows.get(r, {}).get(c, "") for c in range(c0, c1 + 1)] for r in range(r0, r1 + 1)]
     names = legal_names(grid[0], case, letters=True) if firstrow and grid else [column_letter(c) for c in range(c0, c1 + 1)]
     body = grid[1:] if firstrow else grid
     schema = ", ".join(f"`{n}` string" for n in names)

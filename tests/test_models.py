@@ -148,3 +148,41 @@ def test_tables(spark, tmp_path):
     assert "\ttwo" in led.outreg(str(tmp_path / "t.txt"), e, "two") and e.frame(spark).count() == 2
     for svg in (tables.chart(df, "x", "y", "connected"), tables.combine([tables.chart(df, "x", "y")])):
         assert svg.startswith("<svg") and svg.endswith("</svg>")
+
+
+def test_no_maximum_is_told(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from tabulon.models import glm
+
+    x = spark.createDataFrame([(float(i > 10), float(i)) for i in range(20)], "y double, x double")
+    with pytest.warns(UserWarning, match="perfectly"):
+        assert glm.glm(x, "y", {"x": F.col("x")}).stats["separated"]
+    e = glm.glm(spark.createDataFrame([(float(i % 3 > 0), 1.0) for i in range(30)], "y double, x double"), "y", {"x": F.col("x")}, constant=False)
+    assert e.names == ["x"] and abs(e.b[0] - 0.6931471805599453) < 1e-9
+
+
+def test_regressors_of_a_series(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tabulon.models import arima as AR
+
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=400)
+    e = np.zeros(400)
+    for t in range(1, 400):
+        e[t] = 0.5 * e[t - 1] + rnd.normal() * 0.1
+    d = spark.createDataFrame([("a", float(t), float(2 + 3 * x[t] + e[t]), float(x[t])) for t in range(400)], "s string, t double, v double, x double")
+    b = {r["term"]: r["b"] for r in AR.arima(d, "s", "t", "v", (1, 0, 0), regressors={"x": F.col("x")}).collect()}
+    assert abs(b["x"] - 3) < 0.05 and abs(b["ar1"] - 0.5) < 0.15 and abs(b["_cons"] - 2) < 0.05
+
+
+def test_smooth_at_every_point(spark):
+    from tabulon.models import arima as AR
+
+    line = spark.createDataFrame([("a", float(i), 2.0 * i + 1) for i in range(30)] + [("a", 1e6, 2e6 + 1)], "g string, x double, y double")
+    assert all(abs(r["smooth"] - (2 * r["x"] + 1)) < 1e-3 for r in AR.lowess(line, "g", "x", "y").collect())
+    flat = AR.lowess(line.filter("x < 100"), "g", "x", "y", bandwidth=1.0, mean=True, adjust=True)
+    assert abs(sum(r["smooth"] for r in flat.collect()) / 30 - 30.0) < 1e-9

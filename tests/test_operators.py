@@ -168,3 +168,42 @@ def test_streaming_window(spark, tmp_path, sf):
     q.stop()
     want = tumbling(events, "ts", "1 day", ["event_type"], "value")
     assert {(r[0], r[1], r[2]) for r in spark.table("days").collect()} == {(r[0], r[1], r[2]) for r in want.collect()}
+
+
+def test_numbers_are_dense_over_many_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from tabulon.operators import window as WN
+
+    x = spark.range(0, 2_000_000, 1, 6).select(F.pmod(F.xxhash64("id"), F.lit(1_000_003)).alias("k"), "id")
+    n = WN.numbered(x, "k", "id").cache()
+    low, high, distinct = n.agg(F.min("_n"), F.max("_n"), F.count_distinct("_n")).first()
+    assert (low, high, distinct) == (1, 2_000_000, 2_000_000)
+    wrong = n.alias("a").join(n.alias("b"), F.col("a._n") + 1 == F.col("b._n")).filter("a.k > b.k or (a.k = b.k and a.id > b.id)")
+    assert wrong.isEmpty()
+    ids = WN.group_id(x.withColumn("k", F.col("k") % 1000), ["k"], "g").agg(F.count_distinct("g"), F.max("g")).first()
+    assert tuple(ids) == (1000, 1000)
+    n.unpersist()
+
+
+def test_weighted_percentiles(spark):
+    from tabulon.operators import aggregate as A
+
+    x = spark.createDataFrame([(1.0, 1), (2.0, 1), (3.0, 98), (9.0, 0), (None, 5)], "x double, w int")
+    got = A.collapse(x, {"med": ("median", "x"), "p1": ("p1", "x")}, weight="w").first()
+    assert got["med"] == 3.0 and abs(got["p1"] - 1.99) < 1e-9
+    d = A.summarize(x, ["x"], weight="w", kind="fweight", detail=True).first()
+    assert abs(d["sd"] ** 2 - d["variance"]) < 1e-12 and d["p50"] == 3.0
+    t = A.tabstat(x.withColumn("g", x["w"] > 1), ["x"], ["mean", "median"], by="g", weight="w").filter("is_total = 1").first()
+    assert abs(t["x_mean"] - 2.97) < 1e-9 and t["x_median"] == 3.0
+
+
+def test_operator_chains(spark):
+    from tabulon.operators import window as WN
+
+    x = spark.createDataFrame([(1, t, float(t * t), float(t)) for t in (1, 2, 3, 4, 6)], "g int, t int, x double, y double")
+    p = WN.Panel("t", "g")
+    cols = p.expand("L(0/1)D.x") | p.expand("L.(x y)") | p.expand("F(1(2)3).y")
+    assert list(cols) == ["D.x", "LD.x", "L.x", "L.y", "F.y", "F3.y"]
+    got = {r["t"]: tuple(r)[4:] for r in x.select("*", *[c.alias(n) for n, c in cols.items()]).collect()}
+    assert got[4] == (7.0, 5.0, 9.0, 3.0, None, None) and got[3] == (5.0, 3.0, 4.0, 2.0, 4.0, 6.0) and got[6] == (None,) * 6

@@ -26,6 +26,36 @@ def test_delimited(spark, tmp_path):
     assert sorted(map(tuple, files.use(spark, out).collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_ranges_below_narrow_lines(spark, tmp_path):
+    p = tmp_path / "junk.csv"
+    p.write_text('Some junk title\nmore junk, with, commas\n"quoted ""junk"" line"\n\nIndexCol,Region Name,Val A,Val B,Trailing\n1,"Country, One",10,20,x\n2,CountryTwo,30,40,x\n3,Three,50,60,x,extra\n4,Four\n')
+    df = files.read_delimited(spark, str(p), rows=(5, 7), cols=(1, 4), case="upper")
+    assert df.columns == ["INDEXCOL", "REGIONNAME", "VALA", "VALB"] and sorted(map(tuple, df.collect())) == [(1.0, "Country, One", 10.0, 20.0), (2.0, "CountryTwo", 30.0, 40.0)]
+    df = files.read_delimited(spark, str(p), rows=(5, None))
+    assert df.columns == ["indexcol", "regionname", "vala", "valb", "trailing", "v6"] and df.count() == 4
+    assert {tuple(r)[5] for r in df.collect()} == {"", "extra"} and {tuple(r)[2] for r in df.collect()} == {10.0, 30.0, 50.0, None}
+
+
+def test_every_file_gives_up_its_header(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"p{i}.csv").write_text(f"a,b\r\n{i},{i}5\r\n,\r\n")
+    df = files.read_delimited(spark, str(tmp_path))
+    assert df.columns == ["a", "b"] and dict(df.dtypes) == {"a": "double", "b": "double"}
+    assert sorted(tuple(r) for r in df.dropna().collect()) == [(0.0, 5.0), (1.0, 15.0), (2.0, 25.0)] and df.count() == 6
+    assert files.read_delimited(spark, str(tmp_path), rows=(1, 2)).count() == 3
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "e.csv").write_text("")
+    assert files.read_delimited(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_formats_by_extension(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, "a"), (None, "b")], "x double, s string")
+    for ext in ("orc", "json", "parquet", "tsv"):
+        files.save(df, str(tmp_path / f"o.{ext}"))
+        got = files.use(spark, str(tmp_path / f"o.{ext}"), ["x", "s"])
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, df.collect()))), ext
+
+
 def test_dta_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1.0, "a", 3), (None, "", 4)], "x double, s string, n int")
     df = P.label(df, "n", "a count", values={3: "three"})
@@ -49,6 +79,12 @@ def test_workbooks(spark, tmp_path):
     df = files.use(spark, p)
     assert df.columns == ["name", "B"] and tuple(df.first()) == ("b", 4.5)
     assert files.read_workbook(spark, p, "S", "B1:B2", firstrow=False).columns == ["B"]
+    gap = str(tmp_path / "gap.xlsx")
+    with zipfile.ZipFile(p) as old, zipfile.ZipFile(gap, "w") as new:
+        for n in old.namelist():
+            text = old.read(n).decode()
+            new.writestr(n, text.replace('row r="2"', 'row r="6"').replace('r="A2"', 'r="A6"').replace('r="B2"', 'r="B6"'))
+    assert [tuple(r) for r in files.read_workbook(spark, gap, cellrange="A5:B6", firstrow=False).collect()] == [("", None), ("b", 4.5)]
     q = str(tmp_path / "a.ods")
     with zipfile.ZipFile(q, "w") as z:
         z.writestr("content.xml", '<o:d xmlns:o="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:t="urn:oasis:names:tc:opendocument:xmlns:table:1.0" xmlns:x="urn:oasis:names:tc:opendocument:xmlns:text:1.0"><t:table t:name="S"><t:table-row><t:table-cell><x:p>k</x:p></t:table-cell></t:table-row><t:table-row><t:table-cell o:value="7"/></t:table-row></t:table></o:d>')
