@@ -316,13 +316,15 @@ def codebook(spark, d):
     return A.codebook(gappy(spark, d), ["v", "event_type"]).withColumn("mean", F.round("mean", 6))
 
 
-_MERGED = "select coalesce(o.o_custkey, c.c_custkey) as custkey, o.o_orderkey, c.c_mktsegment, case when o.o_orderkey is not null and c.c_custkey is not null then 3.0 when o.o_orderkey is not null then 1.0 else 2.0 end as _merge from (select * from orders where o_orderkey % 3 <> 0) o {} join (select * from customer where c_custkey % 4 <> 0) c on o.o_custkey = c.c_custkey"
+_MERGED = "select coalesce(o.o_custkey, c.c_custkey) as custkey, o.o_orderkey, c.c_mktsegment, case when o.o_orderkey is not null and c.c_custkey is not null then 3.0 when o.o_orderkey is not null then 1.0 else 2.0 end as _merge from (select o_orderkey, case when o_orderkey % 3 = 0 then -1000000000 - o_orderkey else o_custkey end as o_custkey from orders) o {} join (select c_mktsegment, case when c_custkey % 4 = 0 then -c_custkey else c_custkey end as c_custkey from customer) c on o.o_custkey = c.c_custkey"
 
 
 def _sides(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 3 <> 0").select(F.col("o_custkey").alias("custkey"), "o_orderkey")
-    c = table(spark, d, "customer").filter("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("custkey"), "c_mktsegment", "c_acctbal")
-    return o, c
+    """Every order and every customer; a third of the orders and a quarter of the customers get keys that the other side lacks."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer")
+    lost = F.when(F.col("o_orderkey") % 3 == 0, -1_000_000_000 - F.col("o_orderkey")).otherwise(F.col("o_custkey"))
+    gone = F.when(F.col("c_custkey") % 4 == 0, -F.col("c_custkey")).otherwise(F.col("c_custkey"))
+    return o.select(lost.alias("custkey"), "o_orderkey"), c.select(gone.alias("custkey"), "c_mktsegment", "c_acctbal")
 
 
 @query(_MERGED.format("full outer"))
@@ -356,11 +358,12 @@ def merge_1m(spark, d):
     return out.withColumn("_merge", F.when(F.col("_merge") == 1, 2.0).otherwise(F.col("_merge")))
 
 
-@query("select a.c_custkey, coalesce(a.x, b.x) as x, coalesce(b.y, a.y) as y from (select c_custkey, case when c_custkey % 3 <> 0 then c_acctbal end as x, c_acctbal as y from customer) a left join (select c_custkey, c_acctbal * 2 as x, case when c_custkey % 5 = 0 then 0.0 end as y from customer where c_custkey % 2 = 0) b using (c_custkey)")
+@query("select a.c_custkey, coalesce(a.x, b.x) as x, coalesce(b.y, a.y) as y from (select c_custkey, case when c_custkey % 3 <> 0 then c_acctbal end as x, c_acctbal as y from customer) a left join (select c_custkey, c_acctbal * 2 as x, case when c_custkey % 5 = 0 then 0.0 end as y from (select * replace (case when c_custkey % 2 = 0 then c_custkey else -c_custkey end as c_custkey) from customer)) b using (c_custkey)")
 def merge_update(spark, d):
     c = table(spark, d, "customer")
     a = c.select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("x"), F.col("c_acctbal").alias("y"))
-    b = c.filter("c_custkey % 2 = 0").select("c_custkey", (F.col("c_acctbal") * 2).alias("x"), F.when(F.col("c_custkey") % 5 == 0, 0.0).alias("y"))
+    k = F.col("c_custkey")
+    b = c.withColumn("c_custkey", F.when(k % 2 == 0, k).otherwise(-k)).select("c_custkey", (F.col("c_acctbal") * 2).alias("x"), F.when(F.col("c_custkey") % 5 == 0, 0.0).alias("y"))
     one = MG.merge(a, b.select("c_custkey", "x"), "1:1", ["c_custkey"], keep=["master", "match"], update=True, generate=None)
     return MG.merge(one, b.select("c_custkey", "y"), "1:1", ["c_custkey"], keep=["master", "match"], replace=True, generate=None)
 
@@ -436,12 +439,13 @@ def isid_check(spark, d):
     return A.count(A.isid(table(spark, d, "orders"), ["o_orderkey"]))
 
 
-_STATUS_YEAR = "(select o_orderstatus, year(o_orderdate) as yr, round(sum(o_totalprice), 2) as price, cast(count(*) as double) as cnt from orders where year(o_orderdate) between 1996 and 1998 group by 1, 2)"
-_WIDE = f"(select o_orderstatus, {', '.join(f'max(case when yr = {y} then {c} end) as {c}{y}' for y in (1996, 1997, 1998) for c in ('price', 'cnt'))} from {_STATUS_YEAR} group by 1)"
+_YEARS = range(1995, 2002)
+_STATUS_YEAR = "(select o_orderstatus, year(o_orderdate) as yr, round(sum(o_totalprice), 2) as price, cast(count(*) as double) as cnt from orders group by 1, 2)"
+_WIDE = f"(select o_orderstatus, {', '.join(f'max(case when yr = {y} then {c} end) as {c}{y}' for y in _YEARS for c in ('price', 'cnt'))} from {_STATUS_YEAR} group by 1)"
 
 
 def _status_year(spark, d):
-    o = table(spark, d, "orders").withColumn("yr", F.year("o_orderdate")).filter("yr between 1996 and 1998")
+    o = table(spark, d, "orders").withColumn("yr", F.year("o_orderdate"))
     x = A.collapse(o, {"price": ("sum", "o_totalprice"), "cnt": ("count", "o_totalprice")}, ["o_orderstatus", "yr"])
     return x.withColumn("price", F.round("price", 2))
 
@@ -451,12 +455,11 @@ def reshape_wide(spark, d):
     return R.wide(_status_year(spark, d), ["price", "cnt"], ["o_orderstatus"], "yr")
 
 
-@query(f"select o_orderstatus, y as yr, price, cnt from ({' union all '.join(f'select o_orderstatus, {y} as y, price{y} as price, cnt{y} as cnt from {_WIDE}' for y in (1996, 1997, 1998))})")
+@query(f"select o_orderstatus, y as yr, price, cnt from ({' union all '.join(f'select o_orderstatus, {y} as y, price{y} as price, cnt{y} as cnt from {_WIDE}' for y in _YEARS)})")
 def reshape_long(spark, d):
     return R.long(R.wide(_status_year(spark, d), ["price", "cnt"], ["o_orderstatus"], "yr"), ["price", "cnt"], ["o_orderstatus"], "yr")
 
 
-_YEARS = range(1995, 2002)
 _CUST_YEAR = "(select o_custkey, year(o_orderdate) as yr, round(sum(o_totalprice), 2) as price, cast(count(*) as double) as cnt from orders group by 1, 2)"
 _CUST_WIDE = f"(select o_custkey, {', '.join(f'max(case when yr = {y} then {c} end) as {c}{y}' for y in _YEARS for c in ('price', 'cnt'))} from {_CUST_YEAR} group by 1)"
 
