@@ -53,6 +53,14 @@ def predict(df: DataFrame, e: Estimates, name: str, what: str | None = None) ->
     raise DataError(198, f"unknown prediction {what}")
 
 
+def sample(df: DataFrame, e: Estimates, name: str) -> DataFrame:
+    """1 in rows that the estimation could use, with the outcome and every regressor (the omitted ones too) present, else 0."""
+    used = F.col(e.depvar).isNotNull() & ~F.isnan(F.col(e.depvar).cast("double"))
+    for c in e.terms.values():
+        used = used & c.isNotNull() & ~F.isnan(c.cast("double"))
+    return df.withColumn(name, used.cast("double"))
+
+
 def margins(df: DataFrame, e: Estimates, names: list[str] | None = None, atmeans: bool = False) -> list[dict]:
     """Average marginal effects (or those at the means) with delta-method errors, from one aggregate."""
     names = names or [n for n in e.names if n != "_cons" and n in e.terms]

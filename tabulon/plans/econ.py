@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,8 @@ from tabulon.operators import merge as MG
 from tabulon.operators import prep as P
 from tabulon.operators import reshape as R
 from tabulon.operators import window as WN
-from tabulon.session import table
+from tabulon.session import shared_folder, table
+from tabulon.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -640,6 +642,33 @@ def ts_operator_chain(spark, d):
     return user_days(spark, d).select("user_id", "day", *[c.alias(n) for n, c in cols.items()]).withColumn("L.x", F.col("`L.x`"))
 
 
+def _written(spark: SparkSession, df: DataFrame, ext: str) -> str:
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}.{ext}"
+    files.save(df, path)
+    return path
+
+
+@query("select cast(p_partkey as double) as p_partkey, p_name || ', \"' || p_brand || '\"' as label, p_retailprice as price from part")
+def delimited_round_trip(spark, d):
+    """Every part written as comma-separated text, with quotes and commas in its cells, and read back."""
+    x = table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"')).alias("label"), F.col("p_retailprice").alias("price"))
+    return files.use(spark, _written(spark, x, "csv"))
+
+
+@query("select doc_id, coalesce(text, '') as text from documents")
+def multiline_round_trip(spark, d):
+    """Every text with its line breaks written as tab-separated text and read back."""
+    x = table(spark, d, "documents").select("doc_id", "text")
+    return files.use(spark, _written(spark, x, "tsv")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
+@query("select o_orderkey, o_orderstatus, o_totalprice from orders where o_totalprice > 100000")
+def formats_round_trip(spark, d):
+    """Orders through ORC and JSON, columns and filter given to the reader."""
+    x = files.use(spark, _written(spark, table(spark, d, "orders"), "orc"), ["o_orderkey", "o_orderstatus", "o_totalprice"])
+    return files.use(spark, _written(spark, x, "json"), ["o_orderkey", "o_orderstatus", "o_totalprice"], "o_totalprice > 100000")
+
+
 @query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def events_hourly(spark, d):
     """The batch form of the tumbling window that ``tabulon.streaming`` keeps over a stream."""

@@ -342,6 +342,26 @@ def lowess_points(spark, d):
     return AR.lowess(table(spark, d, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice").select("g", "x", F.round("smooth", 3).alias("smooth"))
 
 
+@query("select event_id, case when event_id % 7 <> 0 then 1.0 else 0.0 end as used from events")
+def estimation_sample(spark, d):
+    """The rows that a model of a variable with gaps used."""
+    from tabulon.plans.econ import gappy
+
+    x = gappy(spark, d)
+    e = linear.regress(x, "value", _x("v"))
+    return post.sample(x, e, "used").select("event_id", "used")
+
+
+@query("""with m as (select regr_slope(l_extendedprice, l_quantity) as b, regr_intercept(l_extendedprice, l_quantity) as a, avg(l_quantity) as mx, regr_sxx(l_extendedprice, l_quantity) as sxx, cast(count(*) as double) as n,
+sqrt((1 - regr_r2(l_extendedprice, l_quantity)) * regr_syy(l_extendedprice, l_quantity) / (count(*) - 2)) as s from lineitem)
+select round(10 * b + a, 4) as b, round(s * sqrt(1 / n + power(10 - mx, 2) / sxx), 4) as se, round(b * b * sxx / (s * s), 2) as f from m""")
+def lincom_simple(spark, d):
+    """A linear combination and its error, and the test of the slope."""
+    e = linear.regress(table(spark, d, "lineitem"), "l_extendedprice", _x("l_quantity"))
+    c, f = post.lincom(e, {"l_quantity": 10.0, "_cons": 1.0}), post.test(e, "l_quantity")["F"]
+    return spark.createDataFrame([(round(c["b"], 4), round(c["se"], 4), round(float(f), 2))], "b double, se double, f double")
+
+
 ORACLE["predict_residuals"] = """with m as (select regr_slope(o_totalprice, year(o_orderdate)) as b, regr_intercept(o_totalprice, year(o_orderdate)) as a, avg(year(o_orderdate)) as mx, regr_sxx(o_totalprice, year(o_orderdate)) as sxx, cast(count(*) as double) as n,
 sqrt((1 - regr_r2(o_totalprice, year(o_orderdate))) * regr_syy(o_totalprice, year(o_orderdate)) / (count(*) - 2)) as s from orders)
 select o_orderkey, round(a + b * year(o_orderdate), 4) as fit, round(o_totalprice - a - b * year(o_orderdate), 4) as res, round(s * sqrt(1 / n + power(year(o_orderdate) - mx, 2) / sxx), 6) as sdp from orders, m"""
