@@ -163,9 +163,12 @@ def regress(df: DataFrame, y: str, terms: dict[str, Column], weight: str | None
     rss = float(np.sum((R[:, -1] - R[:, kept] @ b) ** 2))
     inv = np.linalg.inv(Rk)
     XXi = inv @ inv.T
-    m = x.agg(F.sum(F.col("w") * scale * F.col("y")), F.sum(F.col("w") * scale), F.sum(F.col("w") * scale * F.col("y") * F.col("y"))).first()
-    mean = m[0] / m[1]
-    tss = float(x.agg(F.sum(F.col("w") * scale * (F.col("y") - mean) * (F.col("y") - mean))).first()[0]) if constant else float(m[2])
+    # the total sum of squares is in the triangle too: what the constant leaves of the outcome
+    ry = R[:, -1]
+    if constant:
+        one = R[:, len(raw) - 1]
+        ry = ry - one * (one @ ry) / (one @ one)
+    tss = float(ry @ ry)
     if rss < 1e-12 * tss:
         rss = 0.0
     df_r = N - K
