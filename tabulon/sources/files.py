@@ -1,20 +1,25 @@
 """Reading and writing: delimited text, Parquet, ORC, JSON, .dta, workbooks.
 
 Text is read as text first; a column is a number only if every cell is one, so nothing is
-lost to early guesses. Formats that one process must write or read (.dta, workbooks) are
-refused above a documented size.
+lost to early guesses. A workbook or .dta file cannot be split: each is parsed by the task that
+reads it, never on the driver, so a folder of them is read by as many tasks as there are files;
+a .dta table is written as a folder of files of at most ``DTA_ROWS`` rows.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
+import shutil
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,8 +28,10 @@ from tabulon.operators.prep import DataError, label
 
 #: Files up to which a list of them, one short row each, is broadcast.
 MAX_FILES = 100_000
-#: Rows beyond which formats of a single process are refused.
-SINGLE_PROCESS_ROWS = 2_000_000
+#: Rows of one written .dta file; a task holds that many at once.
+DTA_ROWS = 500_000
+#: Rows handed on at once by the task that parses a file.
+CHUNK = 10_000
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -167,54 +174,113 @@ def save(df: DataFrame, path: str, replace: bool = False) -> None:
         df.write.mode(mode).parquet(path)
 
 
-def read_dta(spark: SparkSession, path: str, chunk: int = 100_000) -> DataFrame:
-    """A .dta file in chunks: numbers as doubles, labels and formats as column metadata."""
+def read_dta(spark: SparkSession, path: str) -> DataFrame:
+    """A .dta file or a folder of them, parsed in tasks: numbers as doubles, labels as column metadata.
+
+    Columns are those of all files, in the order of the first that has them, with its labels; a
+    column that is text in one file and numbers in another is text, and one that a file lacks is
+    missing there. Files without rows give their columns only. A file is one task and of at most
+    2 GB.
+    """
     import pandas as pd
 
-    with pd.read_stata(path, iterator=True, convert_categoricals=False, convert_dates=False) as reader:
-        texts, value_labels = reader.variable_labels(), reader.value_labels()
-        out, seen = None, 0
-        while out is None or len(part) == chunk:
-            try:
-                part = reader.read(chunk)
-            except StopIteration:
-                break
-            seen += len(part)
-            if seen > SINGLE_PROCESS_ROWS:
-                raise DataError(901, f"more than {SINGLE_PROCESS_ROWS} rows in one .dta file")
-            for c in part.columns:
-                part[c] = part[c].astype("float64") if part[c].dtype != object else part[c].fillna("")
-            schema = ", ".join(f"`{c}` {'string' if part[c].dtype == object else 'double'}" for c in part.columns)
-            f = spark.createDataFrame(part, schema)
-            out = f if out is None else out.unionByName(f)
-    for c in out.columns:
-        k = dict(out.dtypes)[c]
-        if k == "double":
+    source = spark.read.format("binaryFile").load(path).select("path", "content")
+    plain = {"convert_categoricals": False, "convert_dates": False}
+
+    def head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            for file, content in zip(files["path"], files["content"], strict=True):
+                with pd.read_stata(io.BytesIO(content), iterator=True, **plain) as reader:
+                    texts, values = reader.variable_labels(), reader.value_labels()
+                    try:
+                        part = reader.read(1)
+                    except StopIteration:
+                        part = pd.read_stata(io.BytesIO(content), **plain)
+                rows = [(file, i, c, part[c].dtype == object, texts.get(c) or None, json.dumps({str(k): v for k, v in values[c].items()}) if c in values else None) for i, c in enumerate(part.columns)]
+                yield pd.DataFrame(rows, columns=["file", "pos", "name", "is_text", "label", "labels"])
+
+    heads = source.mapInPandas(head, "file string, pos int, name string, is_text boolean, label string, labels string")
+    at = F.struct("file", "pos")
+    fields = heads.groupBy("name").agg(F.min(at).alias("at"), F.max("is_text").alias("is_text"), F.min_by("label", at).alias("label"), F.min_by("labels", at).alias("labels")).orderBy("at").collect()  # one row per column
+    if not fields:
+        raise DataError(601, f"no .dta file in {path}")
+    text = {f["name"]: f["is_text"] for f in fields}
+
+    def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for files in batches:
+            for content in files["content"]:
+                with pd.read_stata(io.BytesIO(content), iterator=True, **plain) as reader:
+                    while True:
+                        try:
+                            part = reader.read(CHUNK)
+                        except StopIteration:
+                            break
+                        if not len(part):
+                            break
+                        gone = pd.Series([None] * len(part), dtype=object)
+                        cells = {c: part[c].reset_index(drop=True) if c in part else gone for c in text}
+                        yield pd.DataFrame({c: v.map(lambda x: "" if x is None or x != x else str(x)) if text[c] else pd.to_numeric(v).astype("float64") for c, v in cells.items()})
+
+    out = source.mapInPandas(body, ", ".join(f"`{c}` {'string' if t else 'double'}" for c, t in text.items()))
+    for f in fields:
+        c = f["name"]
+        if not text[c]:
             out = out.withColumn(c, F.when(~F.isnan(c), F.col(c)))
-        out = label(out, c, texts.get(c) or None, values=value_labels.get(c))
+        out = label(out, c, f["label"], values=json.loads(f["labels"]) if f["labels"] else None)
     return out
 
 
 def write_dta(df: DataFrame, path: str, replace: bool = False) -> None:
-    """A .dta file of format 118, columns in their smallest types; refused above SINGLE_PROCESS_ROWS."""
+    """A folder of .dta files of format 118, columns in their smallest types, written by the tasks.
+
+    ``path`` is a folder that driver and executors share as a file system. Each partition writes
+    files of at most ``DTA_ROWS`` rows under names of its own, so a task that runs again replaces
+    its files; they are moved to ``path`` when all are there. A table without rows is one file.
+    """
     if os.path.exists(path) and not replace:
         raise DataError(602, f"{path} exists")
-    if df.limit(SINGLE_PROCESS_ROWS + 1).count() > SINGLE_PROCESS_ROWS:
-        raise DataError(901, f"more than {SINGLE_PROCESS_ROWS} rows")
     import pandas as pd
 
-    meta = {f.name: dict(f.metadata or {}) for f in df.schema}
-    p = df.toPandas()
-    for c in p.columns:
-        if p[c].dtype == object:
-            p[c] = p[c].fillna("").astype(str)
-        elif p[c].isna().any():
-            p[c] = p[c].astype("float64")
-        else:
-            p[c] = pd.to_numeric(p[c], downcast="integer") if str(p[c].dtype).startswith(("int", "float")) else p[c]
-            p[c] = p[c].astype("float64") if str(p[c].dtype) == "int64" else p[c]
-    labels = {c: {int(float(k)): v for k, v in m["values"].items()} for c, m in meta.items() if "values" in m and p[c].dtype != object}
-    p.to_stata(path, write_index=False, version=118, variable_labels={c: m["label"] for c, m in meta.items() if "label" in m}, value_labels=labels)
+    texts = {f.name: f.metadata["label"] for f in df.schema if "label" in f.metadata}
+    values = {f.name: {int(float(k)): v for k, v in f.metadata["values"].items()} for f in df.schema if "values" in f.metadata}
+    parts = f"{path.rstrip('/')}.parts-{uuid.uuid4().hex}"
+    os.makedirs(parts)
+
+    def put(p: pd.DataFrame, name: str) -> None:
+        for c in p.columns:
+            if p[c].dtype == object:
+                p[c] = p[c].fillna("").astype(str)
+            elif p[c].isna().any():
+                p[c] = p[c].astype("float64")
+            else:
+                p[c] = pd.to_numeric(p[c], downcast="integer") if str(p[c].dtype).startswith(("int", "float")) else p[c]
+                p[c] = p[c].astype("float64") if str(p[c].dtype) == "int64" else p[c]
+        kept = {c: v for c, v in values.items() if p[c].dtype != object}
+        own = f"{parts}/.{name}-{uuid.uuid4().hex}"
+        p.to_stata(own, write_index=False, version=118, variable_labels=texts, value_labels=kept)
+        os.replace(own, f"{parts}/{name}.dta")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, held, n, files = TaskContext.get().partitionId(), [], 0, 0
+        for b in batches:
+            while len(b):
+                taken, b = b.iloc[: DTA_ROWS - n], b.iloc[DTA_ROWS - n :]
+                held, n = [*held, taken], n + len(taken)
+                if n == DTA_ROWS:
+                    put(pd.concat(held, ignore_index=True), f"part-{task:05d}-{files:05d}")
+                    held, n, files = [], 0, files + 1
+        if n:
+            put(pd.concat(held, ignore_index=True), f"part-{task:05d}-{files:05d}")
+            files += 1
+        yield pd.DataFrame({"files": [files]})
+
+    if not df.mapInPandas(work, "files int").agg(F.sum("files")).first()[0]:
+        put(df.limit(0).toPandas(), "part-00000-00000")
+    if os.path.isdir(path):
+        shutil.rmtree(path)
+    elif os.path.exists(path):
+        os.remove(path)
+    os.replace(parts, path)
 
 
 def _xlsx_rows(data: bytes, sheet: str | int) -> dict[int, dict[int, str]]:
@@ -280,19 +346,29 @@ def cell_at(name: str) -> tuple[int, int]:
 
 
 def read_workbook(spark: SparkSession, path: str, sheet: str | int = 0, cellrange: str | None = None, firstrow: bool = True, case: str = "preserve") -> DataFrame:
-    """One sheet of an .xlsx or .ods workbook, read by one process: the format holds about a million rows at most."""
-    with open(path, "rb") as f:
-        data = f.read()
-    rows = (_ods_rows if path.lower().endswith(".ods") else _xlsx_rows)(data, sheet)
-    (r0, c0), (r1, c1) = (0, 0), (max(rows, default=-1), max((max(r) for r in rows.values() if r), default=0))
-    if cellrange:
-        ends = [cell_at(e) for e in cellrange.split(":")]
-        r0, c0 = ends[0]
-        if len(ends) == 2:
-            r1, c1 = ends[1]
-    r1 = min(r1, max(rows, default=-1))
-    grid = [[rows.get(r, {}).get(c, "") for c in range(c0, c1 + 1)] for r in range(r0, r1 + 1)]
-    names = legal_names(grid[0], case, letters=True) if firstrow and grid else [column_letter(c) for c in range(c0, c1 + 1)]
-    body = grid[1:] if firstrow else grid
-    schema = ", ".join(f"`{n}` string" for n in names)
-    return typed(spark.createDataFrame(body, schema))
+    """One sheet of an .xlsx or .ods workbook, or of each workbook of a folder, parsed in tasks.
+
+    Rows stand where their numbers say, blank ones included; of several workbooks each gives up
+    its own first row, and the names are those of the first. A workbook, which holds about a
+    million rows at most, is one task.
+    """
+    ends = [cell_at(e) for e in cellrange.split(":")] if cellrange else [(0, 0)]
+    (r0, c0), (r1, c1) = ends[0], ends[1] if len(ends) == 2 else (None, None)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("file", pa.string()), ("n", pa.int64()), ("cells", pa.list_(pa.string()))])
+        for b in batches:
+            for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                rows = (_ods_rows if file.lower().endswith(".ods") else _xlsx_rows)(content.as_py(), sheet)
+                last = max(rows, default=-1) if r1 is None else min(r1, max(rows, default=-1))
+                right = max((max(r) for r in rows.values() if r), default=0) if c1 is None else c1
+                for start in range(r0, last + 1, CHUNK):
+                    at = range(start, min(start + CHUNK, last + 1))
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(at)), pa.array(at, pa.int64()), pa.array([[rows.get(r, {}).get(c, "") for c in range(c0, right + 1)] for r in at], pa.list_(pa.string()))], schema=kind)
+
+    grid = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(work, "file string, n bigint, cells array<string>")
+    width = grid.agg(F.max(F.size("cells"))).first()[0] or (1 if c1 is None else c1 - c0 + 1)
+    head = grid.filter(F.col("n") == r0).orderBy("file").first() if firstrow else None
+    names = legal_names([*head["cells"], *[None] * (width - len(head["cells"]))], case, letters=True) if head else [column_letter(c0 + i) for i in range(width)]
+    body = grid.filter(F.col("n") > r0) if head else grid
+    return typed(body.select(*[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)]))

@@ -68,6 +68,18 @@ def test_dta_round_trip(spark, tmp_path):
         files.save(df, p)
 
 
+def test_dta_files_of_several_tasks(spark, tmp_path, monkeypatch):
+    p = str(tmp_path / "many.dta")
+    many = spark.range(0, 1000, 1, 3).selectExpr("id", "cast(id % 7 as string) s")
+    files.save(many.limit(0), p)
+    assert files.use(spark, p).columns == ["id", "s"] and files.use(spark, p).count() == 0  # no rows: columns only
+    monkeypatch.setattr(files, "DTA_ROWS", 200)
+    files.save(many, p, replace=True)
+    back = files.use(spark, p)
+    assert back.count() == back.distinct().count() == 1000 and back.filter("s <> cast(cast(id % 7 as int) as string)").isEmpty()
+    assert sum(f.suffix == ".dta" for f in (tmp_path / "many.dta").iterdir()) >= 3 and len(list(tmp_path.iterdir())) == 1
+
+
 def test_workbooks(spark, tmp_path):
     p = str(tmp_path / "a.xlsx")
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -85,6 +97,13 @@ def test_workbooks(spark, tmp_path):
             text = old.read(n).decode()
             new.writestr(n, text.replace('row r="2"', 'row r="6"').replace('r="A2"', 'r="A6"').replace('r="B2"', 'r="B6"'))
     assert [tuple(r) for r in files.read_workbook(spark, gap, cellrange="A5:B6", firstrow=False).collect()] == [("", None), ("b", 4.5)]
+    both = tmp_path / "books"
+    both.mkdir()
+    for n in ("x.xlsx", "y.xlsx"):  # each gives up its own first row
+        (both / n).write_bytes((tmp_path / "a.xlsx").read_bytes())
+    assert [tuple(r) for r in files.read_workbook(spark, str(both)).collect()] == [("b", 4.5)] * 2
+    with pytest.raises(Exception, match="no sheet T"):
+        files.read_workbook(spark, p, "T").collect()
     q = str(tmp_path / "a.ods")
     with zipfile.ZipFile(q, "w") as z:
         z.writestr("content.xml", '<o:d xmlns:o="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:t="urn:oasis:names:tc:opendocument:xmlns:table:1.0" xmlns:x="urn:oasis:names:tc:opendocument:xmlns:text:1.0"><t:table t:name="S"><t:table-row><t:table-cell><x:p>k</x:p></t:table-cell></t:table-row><t:table-row><t:table-cell o:value="7"/></t:table-row></t:table></o:d>')
