@@ -207,8 +207,10 @@ def mixed_fill(df: DataFrame, group: Column, time: Column, numbers: list[str], c
         best = best_categories(keyed.select("g", "t", c), c).select(F.col("g").alias("g2"), F.col("t").alias("t2"), F.col("fill").alias(f"fill_{c}"), F.col("mask").alias(f"mask_{c}"))
         fills = fills.join(best, fills["g"].eqNullSafe(best["g2"]) & fills["t"].eqNullSafe(best["t2"]), "left").drop("g2", "t2")
     fills = fills.select(*[F.col(c).alias(f"__{c}") for c in fills.columns])
-    mark = F.struct(group.alias("g"), time.alias("t"))  # structs are equal where their fields are, missing ones included
-    x = df.withColumn("__gap", F.when(lacks, mark)).join(fills.withColumn("__gap", F.struct(F.col("__g").alias("g"), F.col("__t").alias("t"))), "__gap", "left")
+    # structs are equal where their fields are, missing ones included; complete rows match nothing, and their hash spreads them over the tasks
+    spread = F.when(lacks, None).otherwise(F.xxhash64(*[F.col(c) for c in (*numbers, *categories)], time))
+    x = df.withColumn("__gap", F.struct(group.alias("g"), time.alias("t"), spread.alias("whole")))
+    x = x.join(fills.withColumn("__gap", F.struct(F.col("__g").alias("g"), F.col("__t").alias("t"), F.lit(None).cast("bigint").alias("whole"))), "__gap", "left")
     new = {}
     for i, c in enumerate(numbers):
         ug, vt = F.col(f"__u_{c}"), F.col(f"__v_{c}")

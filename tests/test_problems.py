@@ -216,3 +216,18 @@ def test_panel_grid(spark):
     assert sorted(got) == [2000, 2001, 2002, 2003] and [k for k in got if got[k]["is_filled"]] == [2001, 2002]
     assert got[2000]["value"] == 3.0 and got[2001]["value"] == 3.0
     assert regrid.panel_grid(p.limit(0), r).count() == 0
+
+
+def test_complete_rows_are_spread_when_filled(spark):
+    rows = spark.range(20_000).selectExpr("'A' k", "2000 + cast(id % 3 as int) y", "if(id % 100 = 0, null, id + 1.0) v")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, v in zip(held, ("-1", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        out = impute.mixed_fill(rows, F.col("k"), F.col("y"), ["v"])
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 20_000 and max(sizes) < 10_000
+    assert out.filter("v_mask = 'group'").count() == 200 and out.filter("v_filled is null").isEmpty()
